@@ -124,7 +124,7 @@ def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_B
     while len(a):
         take = min(len(a), step, PAIRS_PER_ROUND)
         pairs = spark.createDataFrame(pd.DataFrame({"pair": np.arange(take), "x": numbers[a[:take]], "y": numbers[b[:take]]}))
-        sides = pairs.select("pair", F.explode(F.array_distinct(F.array("x", "y"))).cast("int").alias("block"))
+        sides = pairs.select("pair", F.explode(F.array_distinct(F.array(F.col("x").cast("int"), F.col("y").cast("int")))).alias("block"))
         trees = sides.join(blocked, "block").select("pair", "id", "c", "cd").groupBy("pair").applyInPandas(_tree_of_pair, EDGES)
         edges = trees if forest is None else forest.unionByName(trees)
         forest = materialise(kruskal(edges, buckets=max(1, take // 64)), "forest")

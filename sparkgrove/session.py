@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
@@ -24,3 +31,19 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors where PYTHONPATH doesn't already name its folder."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    d = tempfile.mkdtemp(prefix="sparkgrove-")  # the driver serves the file to executors until it ends
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    file = Path(d, "sparkgrove.zip")
+    with zipfile.ZipFile(file, "w") as z:
+        for p in Path(__file__).resolve().parent.rglob("*.py"):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(file))
+    _SHIPPED.add(app)

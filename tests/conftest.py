@@ -15,5 +15,8 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from sparkgrove.session import ship
+
+    ship(s)
     yield s
     s.stop()
