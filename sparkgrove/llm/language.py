@@ -118,7 +118,9 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: st
     keep = keep or []
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
     inner = [f"_{i}" for i in range(len(keep))]
-    d = docs.select(*[F.col(k).alias(c) for k, c in zip(keep, inner)], F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("worded"))
+    text = inner[keep.index(text_col)] if text_col in keep else "text"
+    sent = [] if text_col in keep else [F.col(text_col).cast("string").alias("text")]
+    d = docs.select(*[F.col(k).alias(c) for k, c in zip(keep, inner)], *sent, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("worded"))
     types = dict(zip(inner, [docs.schema[k].dataType.simpleString() for k in keep]))
 
     def score(batches):
@@ -127,7 +129,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: st
             ok = np.flatnonzero(pdf["worded"].to_numpy(bool)) if names else np.empty(0, np.int64)
             pred, conf = np.full(len(pdf), "und", object), np.zeros(len(pdf))
             if len(ok):
-                ll = log_likelihoods([pdf["text"].iloc[i] for i in ok], m)
+                ll = log_likelihoods([pdf[text].iloc[i] for i in ok], m)
                 best = ll.argmax(axis=1)
                 pred[ok] = np.array(names, object)[best]
                 conf[ok] = 1.0 / np.exp(ll - ll[np.arange(len(ok)), best][:, None]).sum(axis=1)
@@ -142,3 +144,12 @@ def language_id(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     langs, matrix = train(docs, text_col, id_col, lang_col, train_rows)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return identify(d, langs, matrix, "text", ["doc_id"]).select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.5, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs whose language is found with that score, with all their columns."""
+    langs, matrix = train(docs, text_col, id_col, lang_col, train_rows)
+    safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    scored = identify(safe, langs, matrix, f"c{docs.columns.index(text_col)}", safe.columns)
+    found = scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return found.select(*[F.col(c).alias(k) for c, k in zip(safe.columns, docs.columns)])

@@ -91,3 +91,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     outside = outside.withColumn("extra", (F.col("rank").isNotNull() & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")))).cast("long"))
     all_rows = inside.unionByName(outside).withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int"))
     return all_rows.select("doc_id", "size", "source", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """docs with each row repeated as often as the mix takes it, with all its columns. Rows that agree in
+    id, source and size are taken alike (as often as the most taken of them)."""
+    m = mix(docs, text_col=text_col, id_col=id_col, source_col=source_col, **options).filter("copies > 0")
+    m = m.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("d"), F.col(source_col).cast("string").alias("s"), word_count(F.col(text_col)).alias("z"))
+    taken = rows.join(m, rows["d"].eqNullSafe(m["doc_id"]) & rows["s"].eqNullSafe(m["source"]) & (rows["z"] == m["size"]))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

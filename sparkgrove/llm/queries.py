@@ -10,6 +10,8 @@ from sparkgrove.llm.bpe import encode_decode
 from sparkgrove.llm.exact_dedup import exact_dedup
 from sparkgrove.llm.language import language_id
 from sparkgrove.llm.mixing import mix
+from sparkgrove.llm.near_dedup import near_groups
+from sparkgrove.llm.neighbours import search
 from sparkgrove.llm.pseudonyms import pseudonymise
 from sparkgrove.llm.sharding import shard
 from sparkgrove.llm.wavelet import token_output
@@ -27,6 +29,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_neighbours": lambda s, d: search(s.read.parquet(f"{d}/embeddings.parquet")),
     "op3_bpe": lambda s, d: encode_decode(documents(s, d), tokenizer_path()),
     "op4_sharding": lambda s, d: shard(documents(s, d)),
     "op5_language_id": lambda s, d: language_id(documents(s, d)),
@@ -34,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": lambda s, d: pseudonymise(documents(s, d)),
     "op8_mixing": lambda s, d: mix(documents(s, d)).select("doc_id", "size", "source_size", "target", "taken"),
     "op9_token_output": lambda s, d: token_output(documents(s, d), tokenizer_path()),
+    "op10_near_dedup": lambda s, d: near_groups(documents(s, d), width=3, percent=85),
 }
 
 SQL: dict[str, str] = {

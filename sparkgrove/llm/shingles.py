@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 #: Signature length and the odd multipliers that stand for its permutations.
 SYMBOLS = 64
@@ -11,18 +10,25 @@ _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
 _C = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
-_CACHE_WORDS = 400_000
 _ROWS = 4096
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes with A-Z lowered, as random 64-bit values; white space is 0.
+_BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_SPACE] = 0
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers = np.ones(1, np.uint64)
 
 
-class WordHashes(dict):
-    """Word bytes to a 64-bit hash; emptied when it has grown past its bound."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the hash base, modulo 2**64."""
+    global _powers
+    if len(_powers) < n:
+        grown = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
+        grown[0] = 1
+        _powers = np.cumprod(grown, dtype=np.uint64)
+    return _powers[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,13 +39,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each A-Z lower-cased word [^\\x20\\x09-\\x0D]+, in order."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.empty(0, np.uint8)
+    space = _SPACE[b]
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1]))) if len(b) else np.empty(0, np.int64)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    ends = np.append(starts[1:], len(b))
+    place = np.arange(starts[0], len(b)) - np.repeat(starts, ends - starts)
+    b = b[starts[0] :]
+    return mix(np.add.reduceat(_BYTE[b] * powers(int(place.max()) + 1)[place], starts - starts[0]))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of A-Z lower-cased words; fewer words than width
     count as one shingle, no words as none."""
-    toks = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not toks:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, toks), np.uint64, len(toks))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = min(width, len(h))
     acc = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
