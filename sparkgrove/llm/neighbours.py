@@ -60,7 +60,7 @@ class Index:
     """Fitted parts: unit-vector centroids, and per subspace the codebook of residuals."""
 
     def __init__(self, sample: np.ndarray, n: int) -> None:
-        unit = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
+        unit = np.unique((sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32), axis=0)
         self.dims = unit.shape[1]
         self.centroids = _kmeans(unit, min(MAX_CELLS, max(1, int(math.sqrt(n)))))
         residual = unit - self.centroids[nearest_centroid(unit, self.centroids)]
