@@ -14,6 +14,7 @@ from sparkgrove.llm.near_dedup import near_groups
 from sparkgrove.llm.neighbours import search
 from sparkgrove.llm.pseudonyms import pseudonymise
 from sparkgrove.llm.sharding import shard
+from sparkgrove.llm.substring_dedup import remove_repeats
 from sparkgrove.llm.wavelet import token_output
 
 
@@ -29,6 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": lambda s, d: remove_repeats(documents(s, d)),
     "op2_neighbours": lambda s, d: search(s.read.parquet(f"{d}/embeddings.parquet")),
     "op3_bpe": lambda s, d: encode_decode(documents(s, d), tokenizer_path()),
     "op4_sharding": lambda s, d: shard(documents(s, d)),
