@@ -236,6 +236,37 @@ def _contexts(n_buckets: int):
 STEP = 8192  # anchors named at once
 
 
+def _by_name(around: np.ndarray):
+    """Indexes of the anchors in slices of about STEP, all anchors of a name together."""
+    names = np.concatenate([gram_names(np.ascontiguousarray(around[a : a + STEP, LEFT : LEFT + GRAM]))[:, 0] for a in range(0, len(around), STEP)])
+    order = np.argsort(names, kind="stable")
+    s = names[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    cuts = first[np.unique(np.searchsorted(first, np.arange(0, len(s), STEP), side="right") - 1)]
+    for a, b in zip(cuts, [*cuts[1:], len(s)]):
+        yield order[a:b]
+
+
+def _marked(docs, place, room, around) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, start) of the strings, of those around these anchors, that a smaller document has. One
+    offset at a time: equal strings hold their anchor at one offset."""
+    h = np.concatenate([string_names(gram_names(around[a : a + STEP])) for a in range(0, len(docs), STEP)])
+    gone, starts = [], []
+    for c in range(SPAN):
+        shift = c - LEFT
+        at = np.flatnonzero((place + shift >= 0) & (room >= LENGTH + shift))
+        if len(at) < 2:
+            continue
+        names = h[at, c]
+        order = np.argsort(names, kind="stable")
+        s, d = names[order], docs[at[order]]
+        new = np.concatenate(([True], s[1:] != s[:-1]))
+        least = np.minimum.reduceat(d, np.flatnonzero(new))
+        hit = at[order[d > least[np.cumsum(new) - 1]]]
+        gone.append(hit), starts.append(place[hit] + shift)
+    return (np.concatenate(gone), np.concatenate(starts)) if gone else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def _mark(batches):
     """Step 3, second half: name the strings around each anchor, sort (name, document), mark those that a
     smaller document has."""
@@ -248,22 +279,9 @@ def _mark(batches):
             docs.append(d[o]), keys.append(k[o]), place.append(np.frombuffer(r.place, np.uint32).astype(np.int64))
             room.append(np.frombuffer(r.room, np.uint8).astype(np.int64)), around.append(np.frombuffer(r.bytes, np.uint8).reshape(-1, WIDE))
         docs, keys, place, room, around = (np.concatenate(x) for x in (docs, keys, place, room, around))
-        shift = np.arange(SPAN) - LEFT  # a string's start, from its anchor
-        names, at, start = [], [], []
-        for a in range(0, len(docs), STEP):
-            h = string_names(gram_names(around[a : a + STEP]))
-            fits = (place[a : a + STEP, None] + shift >= 0) & (room[a : a + STEP, None] >= LENGTH + shift)
-            r, c = np.nonzero(fits)
-            names.append(mix(h[r, c] ^ (np.uint64(0xA24BAED4963EE407) * (c.astype(np.uint64) + np.uint64(1))))), at.append(r + a), start.append(place[a + r] + shift[c])
-        names, at, start = np.concatenate(names), np.concatenate(at), np.concatenate(start)
-        if not len(names):
-            continue
-        order = np.argsort(names, kind="stable")
-        s, d = names[order], docs[at[order]]
-        new = np.concatenate(([True], s[1:] != s[:-1]))
-        least = np.minimum.reduceat(d, np.flatnonzero(new))
-        gone = order[d > least[np.cumsum(new) - 1]]
-        parts.append((docs[at[gone]], keys[at[gone]], start[gone].astype(np.uint32)))
+        for some in _by_name(around):
+            gone, starts = _marked(docs[some], place[some], room[some], around[some])
+            parts.append((docs[some[gone]], keys[some[gone]], starts.astype(np.uint32)))
     if parts:
         docs, keys, start = (np.concatenate(x) for x in zip(*parts))
         if len(docs):
