@@ -28,7 +28,7 @@ _STOP = "\x00"  # stands for END as one symbol
 CHUNKS, WORDS, PAIRS = 250_000, 250_000, 1_000_000
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """Byte to printable symbol: printable Latin-1 bytes stand for themselves, others follow U+0100."""
     plain = [b for r in ((33, 126), (161, 172), (174, 255)) for b in range(r[0], r[1] + 1)]
     shown = {b: chr(b) for b in plain}
@@ -46,7 +46,7 @@ class Encoder:
             spec = json.load(f)
         model = spec["model"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.symbols = _byte_symbols()
+        self.symbols = byte_symbols()
         own = lambda t: t[: -len(END)] + _STOP if t.endswith(END) else t
         self.ids = {own(t): i for t, i in model["vocab"].items()}
         self.shown = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
@@ -63,7 +63,7 @@ class Encoder:
             if t != _STOP and self._stands(i):
                 self.matches.add_word(t, (i, len(t)))
         self.matches.make_automaton()
-        self.words = regex.compile(_split_pattern(spec))
+        self.words = regex.compile(split_pattern(spec))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._pairs: dict[tuple[int, int], bool] = {}
         self._word: dict[str, tuple[int, ...]] = {}
@@ -169,7 +169,7 @@ class Encoder:
         return " ".join(self.shown[i] for i in ids)
 
 
-def _split_pattern(spec: dict) -> str:
+def split_pattern(spec: dict) -> str:
     """The file's word pattern, with white space by its Unicode property as the library has it."""
     pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     return pattern.replace(r"[^\s", r"[^\p{White_Space}")

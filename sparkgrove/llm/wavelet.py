@@ -15,6 +15,7 @@ table writes no file and gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import struct
@@ -24,11 +25,13 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkgrove.llm.bpe import byte_symbols, split_pattern
 from sparkgrove.session import materialise, shared_dir
 
 MAGIC = b"WVMX0001"
@@ -36,7 +39,11 @@ BLOCK = 512  # bits that one rank count covers
 CHUNK = 1 << 16  # bytes of bits that decompress together
 #: Tokens after which a task closes its file and opens the next.
 SHARD_TOKENS = 4_000_000
-DISTINCT = 250_000
+DISTINCT = 400_000
+#: Longest chunk given to the model without the rest of the library.
+MODEL_CHARS = 256
+#: Characters encoded together.
+SLICE = 1_000_000
 
 
 # files -------------------------------------------------------------------------------------------
@@ -221,47 +228,93 @@ class Shard:
 
 @functools.lru_cache(maxsize=2)
 def _library(path: str):
+    """The library's tokenizer, and its file's word pattern."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        pattern = split_pattern(json.load(f))
+    return Tokenizer.from_file(path), regex.compile(pattern)
+
+
+def _slices(texts: list[str | None]):
+    """Runs of texts of about SLICE characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= SLICE:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 class _Chunks(dict):
     """Chunk bytes to a row of a flat table of ids. The file's words never span [\\x20\\x09-\\x0D], so a
-    text's ids are those of its stretches between, each encoded once by the library."""
+    text's ids are those of its stretches between; the library encodes each distinct one, in batches."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        self.path = path
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.library, self.split = _library(path)
+        self.model, self.symbols, self.words = self.library.model, byte_symbols(), {}
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
-        self.flat, self.used, self.at, self.size = np.empty(1 << 16, np.uint32), 0, [], []
+        self.new: list[bytes] = []
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def __missing__(self, chunk: bytes) -> int:
-        ids = _library(self.path).encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.at.append(self.used), self.size.append(len(ids))
-        self.used += len(ids)
-        k = self[chunk] = len(self.at) - 1
+        self.new.append(chunk)
+        k = self[chunk] = len(self)
         return k
 
-    def ids(self, text: str | None, end: int) -> np.ndarray:
+    def _learn(self) -> None:
+        if not self.new:
+            return
+        got: list = [None] * len(self.new)
+        whole = []
+        for k, chunk in enumerate(self.new):
+            text = chunk.decode("utf-8", "surrogatepass")
+            if b"<|" in chunk or len(text) > MODEL_CHARS or not text.isascii() and max(text) > "\xff":
+                whole.append((k, text))  # may hold added tokens, or letters that normalising changes
+                continue
+            words = self.split.findall(text.lower())
+            got[k] = self._word(words[0]) if len(words) == 1 else [i for w in words for i in self._word(w)]
+        for (k, _), e in zip(whole, self.library.encode_batch_fast([t for _, t in whole], add_special_tokens=False)):
+            got[k] = e.ids
+        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])))
+        self.new = []
+
+    def _word(self, word: str) -> list[int]:
+        """The ids of one word of at most Latin-1 letters, by the library's model: such text is normal as
+        it is, so lower case and the file's word pattern are all that precede the model."""
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= DISTINCT:
+                self.words.clear()
+            shown = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
+            got = self.words[word] = [t.id for t in self.model.tokenize(shown)]
+        return got
+
+    def ids(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, and their lengths."""
         if len(self) >= DISTINCT:
             self._empty()
-        toks = text.encode("utf-8", "surrogatepass").split() if text else []
-        rows = list(map(self.__getitem__, toks))
-        size = np.fromiter(map(self.size.__getitem__, rows), np.int64, len(rows))
-        at = np.fromiter(map(self.at.__getitem__, rows), np.int64, len(rows))
-        total = int(size.sum())
-        out = np.empty(total + 1, np.uint32)
-        before = np.cumsum(size) - size
-        out[:total] = self.flat[np.repeat(at - before, size) + np.arange(total)]
-        out[total] = end
-        return out
+        toks = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        words = np.array([len(t) for t in toks], np.int64)
+        rows = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(toks)), np.int64, int(words.sum()))
+        self._learn()
+        at, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        total = np.concatenate(([0], np.cumsum(size)))
+        last = np.cumsum(words)
+        lengths = total[last] - total[last - words]
+        doc = np.repeat(np.arange(len(texts)), words)
+        out = np.full(int(total[-1]) + len(texts), end, np.uint32)
+        from_ = np.repeat(at - total[:-1], size) + np.arange(total[-1])
+        out[np.arange(total[-1]) + np.repeat(doc, size)] = self.flat[from_]
+        return out, lengths + 1
 
 
 def write_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -279,21 +332,24 @@ def write_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        chunks, names, held, size = _Chunks(path), [], [], 0
+        chunks, names, held, sizes, size = _Chunks(path), [], [], [], 0
 
         def close():
-            nonlocal seq, names, held, size
+            nonlocal seq, names, held, sizes, size
             file = f"{out}/part-{part:06d}-{seq:05d}.wvm"
-            put(file, pack(np.concatenate(held), names, np.array([len(x) for x in held])))
+            put(file, pack(np.concatenate(held), names, np.concatenate(sizes)))
             row = (part, seq, file, len(names), size)
-            seq, names, held, size = seq + 1, [], [], 0
+            seq, names, held, sizes, size = seq + 1, [], [], [], 0
             return pd.DataFrame([row], columns=["part", "seq", "file", "n_docs", "n_tokens"])
 
         for pdf in batches:
-            for doc_id, null, text in zip(pdf["doc_id"].tolist(), pdf["doc_id"].isna().tolist(), pdf["text"].tolist()):
-                ids = chunks.ids(text, end_id)
-                names.append(None if null else int(doc_id)), held.append(ids)
-                size += len(ids)
+            ids = [None if null else int(d) for d, null in zip(pdf["doc_id"].tolist(), pdf["doc_id"].isna().tolist())]
+            texts = pdf["text"].tolist()
+            for a, b in _slices(texts):
+                tokens, lengths = chunks.ids(texts[a:b], end_id)
+                names += ids[a:b]
+                held.append(tokens), sizes.append(lengths)
+                size += len(tokens)
                 if size >= shard_tokens:
                     yield close()
         if names:
