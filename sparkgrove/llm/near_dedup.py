@@ -154,12 +154,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text_col: st
     classes = materialise(sigs.filter("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keys = classes.select(F.col("rep").alias("node"), F.explode(index_keys(F.col("sig"), chunks_for(percent))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "lo")
-    coarse = components(keys.join(shared, "key").filter("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v")))
+    coarse = components(keys.join(shared.hint("merge"), "key").filter("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v")))
     coarse = materialise(coarse, "coarse")
     blocks = coarse.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = coarse.join(blocks, "comp").select(F.col("node").alias("rep"), "comp", "blocks")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    full = _full_sets(texts.join(members, texts["doc_id"] == members["rep"]).select("doc_id", "comp", "blocks", "text"), width)
+    full = _full_sets(texts.join(members.hint("merge"), texts["doc_id"] == members["rep"]).select("doc_id", "comp", "blocks", "text"), width)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     units = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("doc_id", "members", "comp", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
