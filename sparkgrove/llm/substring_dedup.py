@@ -90,6 +90,28 @@ def _encode(text: str | None) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.empty(0, np.uint8)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: leading zeros compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplane(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack_names(names: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted names: steps of the first 32, then 16. A clash of what is cut off only
+    keeps a position that step 3 drops."""
+    high, low = (names >> np.uint64(32)).astype(np.uint32), (names >> np.uint64(16)).astype(np.uint16)
+    return _planes(np.diff(high, prepend=np.uint32(0))) + low.tobytes()
+
+
+def _unpack_names(raw: bytes, n: int) -> np.ndarray:
+    high = np.cumsum(_unplane(raw[: 4 * n], np.uint32), dtype=np.uint64)
+    return high << np.uint64(16) | np.frombuffer(raw[4 * n :], np.uint16)
+
+
 def _deal(bucket: np.ndarray, n: int):
     order = np.argsort(bucket, kind="stable")
     edge = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -119,7 +141,7 @@ def _name_positions(n_buckets: int):
         for k, at in _deal(_bucket(names, n_buckets), n_buckets):
             at = at[np.argsort(names[at], kind="stable")]
             own, mine = np.unique(owner[at], return_inverse=True)
-            rows.append((k, len(at), names[at].tobytes(), ids[own].tobytes(), keys[own].tobytes(), mine.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), places[at].tobytes()))
+            rows.append((k, len(at), _pack_names(names[at]), ids[own].tobytes(), keys[own].tobytes(), _planes(mine.astype(np.uint32)), _planes(places[at])))
         return pd.DataFrame(rows, columns=["bucket", "size", "names", "docs", "keys", "owner", "place"])
 
     def run(batches):
@@ -156,8 +178,8 @@ def _unpack(rows):
     names, docs, keys, place = [], [], [], []
     for r in rows:
         d, k = np.frombuffer(r.docs, np.int64), np.frombuffer(r.keys, np.int64)
-        o = np.frombuffer(r.owner, np.uint16 if len(d) < 65536 else np.uint32)
-        names.append(np.frombuffer(r.names, np.uint64)), docs.append(d[o]), keys.append(k[o]), place.append(np.frombuffer(r.place, np.uint32))
+        o = _unplane(r.owner, np.uint32)
+        names.append(_unpack_names(r.names, r.size)), docs.append(d[o]), keys.append(k[o]), place.append(_unplane(r.place, np.uint32))
     return np.concatenate(names), np.concatenate(docs), np.concatenate(keys), np.concatenate(place)
 
 
@@ -338,11 +360,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     firsts = same.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     copies = same.join(firsts, "sha").filter("doc > least").select("doc", "key").distinct().withColumn("copied", F.lit(True))
     known = held.join(copies, ["doc", "key"], "left")
-    alone = known.filter("copied is null and length(text) > 0").select("doc_id", "key", "text")
+    alone = known.filter("copied is null").select("doc_id", "key", "text")
     pairs = alone.mapInPandas(_name_positions(buckets), PAIRS)
     shared = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared_positions, FOUND)
     gather = lambda f: f.groupBy("doc", "key").agg(F.array_join(F.transform(F.collect_list("found"), lambda x: F.hex(x)), "").alias("h")).select("doc", "key", F.unhex("h").alias("found"))
-    around = held.join(gather(shared), ["doc", "key"]).select("doc_id", "key", "text", "found").mapInPandas(_contexts(buckets), CONTEXTS)
+    around = held.join(gather(shared), ["doc", "key"], "left").select("doc_id", "key", "text", "found").mapInPandas(_contexts(buckets), CONTEXTS)
     marked = around.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_mark, FOUND)
     last = held.join(gather(marked), ["doc", "key"], "left").join(copies, ["doc", "key"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, rest binary, spans array<struct<begin:int,end:int>>"
