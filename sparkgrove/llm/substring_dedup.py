@@ -124,10 +124,6 @@ def _bucket(names: np.ndarray, n: int) -> np.ndarray:
     return ((names >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _ids(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf["doc_id"].fillna(_NO_ID).to_numpy("int64") if pdf["doc_id"].isna().any() else pdf["doc_id"].to_numpy("int64")
-
-
 PAIRS = "bucket int, size int, names binary, docs binary, keys binary, owner binary, place binary"
 
 
@@ -146,7 +142,7 @@ def _name_positions(n_buckets: int):
 
     def run(batches):
         for pdf in batches:
-            ids, keys = _ids(pdf), pdf["key"].to_numpy("int64")
+            ids, keys = pdf["doc"].to_numpy("int64"), pdf["key"].to_numpy("int64")
             at, held, begin = 0, [], 0
             for i, text in enumerate(pdf["text"].tolist()):
                 b = _encode(text)
@@ -225,7 +221,7 @@ def _contexts(n_buckets: int):
     def run(batches):
         for pdf in batches:
             held, size = [], 0
-            for doc, key, text, found in zip(_ids(pdf).tolist(), pdf["key"].tolist(), pdf["text"].tolist(), pdf["found"].tolist()):
+            for doc, key, text, found in zip(pdf["doc"].tolist(), pdf["key"].tolist(), pdf["text"].tolist(), pdf["found"].tolist()):
                 if found is None or not len(found):
                     continue
                 b = _encode(text)
@@ -360,11 +356,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     firsts = same.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     copies = same.join(firsts, "sha").filter("doc > least").select("doc", "key").distinct().withColumn("copied", F.lit(True))
     known = held.join(copies, ["doc", "key"], "left")
-    alone = known.filter("copied is null").select("doc_id", "key", "text")
+    alone = known.filter("copied is null").select("doc", "key", "text")
     pairs = alone.mapInPandas(_name_positions(buckets), PAIRS)
     shared = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared_positions, FOUND)
     gather = lambda f: f.groupBy("doc", "key").agg(F.array_join(F.transform(F.collect_list("found"), lambda x: F.hex(x)), "").alias("h")).select("doc", "key", F.unhex("h").alias("found"))
-    around = held.join(gather(shared), ["doc", "key"], "left").select("doc_id", "key", "text", "found").mapInPandas(_contexts(buckets), CONTEXTS)
+    around = held.join(gather(shared), ["doc", "key"], "left").select("doc", "key", "text", "found").mapInPandas(_contexts(buckets), CONTEXTS)
     marked = around.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_mark, FOUND)
     last = held.join(gather(marked), ["doc", "key"], "left").join(copies, ["doc", "key"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, rest binary, spans array<struct<begin:int,end:int>>"
