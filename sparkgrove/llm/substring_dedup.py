@@ -265,11 +265,11 @@ def _by_name(around: np.ndarray):
         yield order[a:b]
 
 
-def _marked(docs, place, room, around) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, start) of the strings, of those around these anchors, that a smaller document has. One
-    offset at a time: equal strings hold their anchor at one offset."""
+def _marked(docs, place, room, around) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first start, end of starts): runs of the strings around these anchors that a smaller
+    document has. One offset at a time: equal strings hold their anchor at one offset."""
     h = np.concatenate([string_names(gram_names(around[a : a + STEP])) for a in range(0, len(docs), STEP)])
-    gone, starts = [], []
+    gone = np.zeros((len(docs), SPAN + 2), np.int8)  # a clear column on either side
     for c in range(SPAN):
         shift = c - LEFT
         at = np.flatnonzero((place + shift >= 0) & (room >= LENGTH + shift))
@@ -280,9 +280,11 @@ def _marked(docs, place, room, around) -> tuple[np.ndarray, np.ndarray]:
         s, d = names[order], docs[at[order]]
         new = np.concatenate(([True], s[1:] != s[:-1]))
         least = np.minimum.reduceat(d, np.flatnonzero(new))
-        hit = at[order[d > least[np.cumsum(new) - 1]]]
-        gone.append(hit), starts.append(place[hit] + shift)
-    return (np.concatenate(gone), np.concatenate(starts)) if gone else (np.empty(0, np.int64), np.empty(0, np.int64))
+        gone[at[order[d > least[np.cumsum(new) - 1]]], c + 1] = 1
+    edge = np.diff(gone, axis=1)
+    at, first = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    return at, place[at] + first - LEFT, place[at] + end - LEFT
 
 
 def _mark(batches):
@@ -298,19 +300,19 @@ def _mark(batches):
             room.append(np.frombuffer(r.room, np.uint8).astype(np.int64)), around.append(np.frombuffer(r.bytes, np.uint8).reshape(-1, WIDE))
         docs, keys, place, room, around = (np.concatenate(x) for x in (docs, keys, place, room, around))
         for some in _by_name(around):
-            gone, starts = _marked(docs[some], place[some], room[some], around[some])
-            parts.append((docs[some[gone]], keys[some[gone]], starts.astype(np.uint32)))
+            at, first, end = _marked(docs[some], place[some], room[some], around[some])
+            parts.append((docs[some[at]], keys[some[at]], first.astype(np.uint32), end.astype(np.uint32)))
     if parts:
-        docs, keys, start = (np.concatenate(x) for x in zip(*parts))
+        docs, keys, first, end = (np.concatenate(x) for x in zip(*parts))
         if len(docs):
-            yield _per_document(docs, keys, [start])
+            yield _per_document(docs, keys, [first, end])
 
 
 def cut_spans(n: int, starts: np.ndarray) -> np.ndarray:
-    """(begin, end) of the maximal runs that LENGTH-byte strings at starts cover."""
+    """(begin, end) of the maximal runs that LENGTH-byte strings cover, from (first, end) of their starts."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + LENGTH, -1)
+    np.add.at(step, starts[:, 0], 1)
+    np.add.at(step, starts[:, 1] - 1 + LENGTH, -1)
     gone = np.cumsum(step[:-1]) > 0
     edge = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
     return np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), axis=1)
@@ -325,7 +327,7 @@ def _cut(digest: bool):
                 if copied and len(b) >= LENGTH:
                     spans = np.array([[0, len(b)]])
                 elif found is not None and len(found):
-                    spans = cut_spans(len(b), np.unique(np.frombuffer(found, np.uint32).astype(np.int64)))
+                    spans = cut_spans(len(b), np.frombuffer(found, np.uint32).reshape(-1, 2).astype(np.int64))
                 else:
                     spans = np.empty((0, 2), np.int64)
                 keep = np.ones(len(b), bool)
