@@ -33,7 +33,9 @@ DATE = r"(?<![0-9.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7})(?![0-9])"
-PATTERN = "|".join([EMAIL, KEY, TOKEN, PHONE, SSN, DATE, IPV4, CARD])
+#: Few characters can start a number: the test before their alternatives keeps the scan short.
+NUMBER = rf"(?=[0-9+(])(?:{'|'.join([PHONE, SSN, DATE, IPV4, CARD])})"
+PATTERN = "|".join([EMAIL, KEY, TOKEN, NUMBER])
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -89,8 +91,12 @@ def permute_number(v: Column, bits: int, key: str, kind: str) -> Column:
 def _fill(template: Column, chars: Column) -> Column:
     """template with its digits replaced, in order, by chars."""
     parts = F.regexp_extract_all(template, F.lit("[^0-9]|[0-9]"), F.lit(0))
-    step = lambda st, ch: F.when(ch.rlike("[0-9]"), F.struct(F.concat(st["s"], F.substr(chars, st["i"] + 1, F.lit(1))).alias("s"), (st["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(st["s"], ch).alias("s"), st["i"].alias("i")))
-    return F.aggregate(parts, F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), step, lambda z: z["s"])
+
+    def filled(c: Column) -> Column:
+        step = lambda st, ch: F.when(ch.rlike("[0-9]"), F.struct(F.concat(st["s"], F.substr(c, st["i"] + 1, F.lit(1))).alias("s"), (st["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(st["s"], ch).alias("s"), st["i"].alias("i")))
+        return F.aggregate(parts, F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), step, lambda z: z["s"])
+
+    return _let(chars, filled)
 
 
 def _digits(m: Column) -> Column:
