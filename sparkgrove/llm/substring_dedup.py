@@ -157,12 +157,12 @@ def _name_positions(n_buckets: int):
     return run
 
 
-def _runs(batches):
+def _runs(batches, by: str = "bucket"):
     """Rows of one bucket at a time, from batches sorted by bucket."""
     held = []
     for pdf in batches:
         for row in pdf.itertuples(index=False):
-            if held and held[0].bucket != row.bucket:
+            if held and getattr(held[0], by) != getattr(row, by):
                 yield held
                 held = []
             held.append(row)
@@ -179,35 +179,69 @@ def _unpack(rows):
     return np.concatenate(names), np.concatenate(docs), np.concatenate(keys), np.concatenate(place)
 
 
-def _per_document(docs: np.ndarray, keys: np.ndarray, values: list[np.ndarray]) -> pd.DataFrame:
-    order = np.lexsort((keys, docs))
-    docs, keys = docs[order], keys[order]
-    cut = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1]))))
-    ends = [*cut[1:].tolist(), len(docs)]
-    whole = np.stack([v[order] for v in values], axis=1)
-    return pd.DataFrame({"doc": docs[cut], "key": keys[cut], "found": [whole[a:b].tobytes() for a, b in zip(cut.tolist(), ends)]})
+def _cuts(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each document begins in sorted (key, doc)."""
+    return np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1]))))
 
 
-FOUND = "doc long, key long, found binary"
+FOUND = "dest int, docs binary, keys binary, sizes binary, found binary"
 
 
-def _shared_positions(batches):
+def _per_document(docs: np.ndarray, keys: np.ndarray, values: np.ndarray, n: int) -> pd.DataFrame:
+    """What a task found, by document (values: columns of 32 bits), packed by bucket of the document's key:
+    rows that a document's repeats fill in many tasks would grow with the number of tasks."""
+    order = np.lexsort((docs, keys.view(np.uint64)))
+    docs, keys, values = docs[order], keys[order], values[order]
+    cut = _cuts(docs, keys)
+    sizes = np.diff(np.append(cut, len(docs))).astype(np.uint32)
+    edge = np.searchsorted(_bucket(keys[cut].view(np.uint64), n), np.arange(n + 1))
+    ends = np.append(cut, len(docs))
+    rows = []
+    for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+        a, b = edge[k], edge[k + 1]
+        rows.append((k, docs[cut[a:b]].tobytes(), keys[cut[a:b]].tobytes(), _planes(sizes[a:b]), _planes(values[ends[a] : ends[b]].ravel())))
+    return pd.DataFrame(rows, columns=["dest", "docs", "keys", "sizes", "found"])
+
+
+def _assembled(width: int):
+    """One row per document from the rows of _per_document, sorted by dest."""
+
+    def run(batches):
+        for rows in _runs(batches, "dest"):
+            sizes = np.concatenate([_unplane(r.sizes, np.uint32) for r in rows])
+            docs = np.repeat(np.concatenate([np.frombuffer(r.docs, np.int64) for r in rows]), sizes)
+            keys = np.repeat(np.concatenate([np.frombuffer(r.keys, np.int64) for r in rows]), sizes)
+            found = np.concatenate([_unplane(r.found, np.uint32) for r in rows]).reshape(-1, width)
+            order = np.lexsort((docs, keys))
+            docs, keys, found = docs[order], keys[order], found[order]
+            cut = _cuts(docs, keys)
+            ends = [*cut[1:].tolist(), len(docs)]
+            yield pd.DataFrame({"doc": docs[cut], "key": keys[cut], "found": [found[a:b].tobytes() for a, b in zip(cut.tolist(), ends)]})
+
+    return run
+
+
+def _shared_positions(n_dests: int):
     """Step 2: sort (name, document); keep the positions whose name more than one document has."""
-    parts = []
-    for rows in _runs(batches):
-        names, docs, keys, place = _unpack(rows)
-        order = np.lexsort((docs, names))
-        s, d = names[order], docs[order]
-        new = np.concatenate(([True], s[1:] != s[:-1]))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(s)) - 1
-        many = d[first] < d[last]
-        keep = order[many[np.cumsum(new) - 1]]
-        parts.append((docs[keep], keys[keep], place[keep]))
-    if parts:
-        docs, keys, place = (np.concatenate(x) for x in zip(*parts))
-        if len(docs):
-            yield _per_document(docs, keys, [place])
+
+    def run(batches):
+        parts = []
+        for rows in _runs(batches):
+            names, docs, keys, place = _unpack(rows)
+            order = np.lexsort((docs, names))
+            s, d = names[order], docs[order]
+            new = np.concatenate(([True], s[1:] != s[:-1]))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(s)) - 1
+            many = d[first] < d[last]
+            keep = order[many[np.cumsum(new) - 1]]
+            parts.append((docs[keep], keys[keep], place[keep]))
+        if parts:
+            docs, keys, place = (np.concatenate(x) for x in zip(*parts))
+            if len(docs):
+                yield _per_document(docs, keys, place[:, None], n_dests)
+
+    return run
 
 
 LEFT = SPAN - 1  # bytes before an anchor that a string with it can hold
@@ -287,25 +321,29 @@ def _marked(docs, place, room, around) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return at, place[at] + first - LEFT, place[at] + end - LEFT
 
 
-def _mark(batches):
+def _mark(n_dests: int):
     """Step 3, second half: name the strings around each anchor, sort (name, document), mark those that a
     smaller document has."""
-    parts = []
-    for rows in _runs(batches):
-        docs, keys, place, room, around = [], [], [], [], []
-        for r in rows:
-            d, k = np.frombuffer(r.docs, np.int64), np.frombuffer(r.keys, np.int64)
-            o = np.frombuffer(r.owner, np.uint16 if len(d) < 65536 else np.uint32)
-            docs.append(d[o]), keys.append(k[o]), place.append(np.frombuffer(r.place, np.uint32).astype(np.int64))
-            room.append(np.frombuffer(r.room, np.uint8).astype(np.int64)), around.append(np.frombuffer(r.bytes, np.uint8).reshape(-1, WIDE))
-        docs, keys, place, room, around = (np.concatenate(x) for x in (docs, keys, place, room, around))
-        for some in _by_name(around):
-            at, first, end = _marked(docs[some], place[some], room[some], around[some])
-            parts.append((docs[some[at]], keys[some[at]], first.astype(np.uint32), end.astype(np.uint32)))
-    if parts:
-        docs, keys, first, end = (np.concatenate(x) for x in zip(*parts))
-        if len(docs):
-            yield _per_document(docs, keys, [first, end])
+
+    def run(batches):
+        parts = []
+        for rows in _runs(batches):
+            docs, keys, place, room, around = [], [], [], [], []
+            for r in rows:
+                d, k = np.frombuffer(r.docs, np.int64), np.frombuffer(r.keys, np.int64)
+                o = np.frombuffer(r.owner, np.uint16 if len(d) < 65536 else np.uint32)
+                docs.append(d[o]), keys.append(k[o]), place.append(np.frombuffer(r.place, np.uint32).astype(np.int64))
+                room.append(np.frombuffer(r.room, np.uint8).astype(np.int64)), around.append(np.frombuffer(r.bytes, np.uint8).reshape(-1, WIDE))
+            docs, keys, place, room, around = (np.concatenate(x) for x in (docs, keys, place, room, around))
+            for some in _by_name(around):
+                at, first, end = _marked(docs[some], place[some], room[some], around[some])
+                parts.append((docs[some[at]], keys[some[at]], first.astype(np.uint32), end.astype(np.uint32)))
+        if parts:
+            docs, keys, first, end = (np.concatenate(x) for x in zip(*parts))
+            if len(docs):
+                yield _per_document(docs, keys, np.stack((first, end), axis=1), n_dests)
+
+    return run
 
 
 def cut_spans(n: int, starts: np.ndarray) -> np.ndarray:
@@ -353,17 +391,17 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     order: Column = F.coalesce("doc_id", F.lit(int(_NO_ID)))
     base = base.select("doc_id", "text", order.alias("doc"), F.xxhash64("doc_id", "text").alias("key"))
-    held = base.repartition(parts, "doc", "key")
+    held = base.repartition(parts, "doc", "key")  # each use reads all its columns, or it would be written once more
     same = base.select("doc", "key", F.sha2("text", 256).alias("sha"))
     firsts = same.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
     copies = same.join(firsts, "sha").filter("doc > least").select("doc", "key").distinct().withColumn("copied", F.lit(True))
     known = held.join(copies, ["doc", "key"], "left")
-    alone = known.filter("copied is null").select("doc", "key", "text")
+    alone = known.filter("copied is null").select("doc_id", "doc", "key", "text")
     pairs = alone.mapInPandas(_name_positions(buckets), PAIRS)
-    shared = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared_positions, FOUND)
-    gather = lambda f: f.groupBy("doc", "key").agg(F.array_join(F.transform(F.collect_list("found"), lambda x: F.hex(x)), "").alias("h")).select("doc", "key", F.unhex("h").alias("found"))
-    around = held.join(gather(shared), ["doc", "key"], "left").select("doc", "key", "text", "found").mapInPandas(_contexts(buckets), CONTEXTS)
-    marked = around.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_mark, FOUND)
-    last = held.join(gather(marked), ["doc", "key"], "left").join(copies, ["doc", "key"], "left")
+    shared = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared_positions(parts), FOUND)
+    gather = lambda f, width: f.repartition(parts, "dest").sortWithinPartitions("dest").mapInPandas(_assembled(width), "doc long, key long, found binary")
+    around = held.join(gather(shared, 1), ["doc", "key"], "left").select("doc_id", "doc", "key", "text", "found").mapInPandas(_contexts(buckets), CONTEXTS)
+    marked = around.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_mark(parts), FOUND)
+    last = held.join(gather(marked, 2), ["doc", "key"], "left").join(copies, ["doc", "key"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, rest binary, spans array<struct<begin:int,end:int>>"
     return last.select("doc_id", "text", "found", F.coalesce("copied", F.lit(False)).alias("copied")).mapInPandas(_cut(digest), schema)
