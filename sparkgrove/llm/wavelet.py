@@ -18,6 +18,7 @@ import functools
 import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -248,21 +249,62 @@ def _slices(texts: list[str | None]):
         yield at, len(texts)
 
 
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes of ranges laid end to end."""
+    return np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+class _Words(dict):
+    """Words of at most Latin-1 letters to rows of a flat table of ids, by the library's model: such text is
+    normal as it is, so lower case and the file's word pattern are all that precede the model. Row 0, a line
+    feed, has no ids."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.symbols = model, byte_symbols()
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self["\n"] = 0
+        self.new: list[str] = []
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(2, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        k = self[word] = len(self)
+        return k
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self) >= DISTINCT:
+            self.empty()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            sym, model = self.symbols, self.model.tokenize
+            got = [[t.id for t in model(w if w.isascii() and w.isprintable() else "".join([sym[b] for b in w.encode()]))] for w in self.new]
+            self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32)))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(list(map(len, got)))))
+            self.new = []
+        return rows
+
+
 class _Chunks(dict):
     """Chunk bytes to a row of a flat table of ids. The file's words never span [\\x20\\x09-\\x0D], so a
-    text's ids are those of its stretches between; the library encodes each distinct one, in batches."""
+    text's ids are those of its stretches between; each distinct one is encoded, in batches."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.library, self.split = _library(path)
-        self.model, self.symbols, self.words = self.library.model, byte_symbols(), {}
+        self.library, split = _library(path)
+        self.split = regex.compile(f"(?:{split.pattern})|\n")
+        self.odd = re.compile(r"[^\x00-\xff]|<\|").search  # letters that normalising changes, or added tokens
+        self.words = _Words(self.library.model)
         self._empty()
 
     def _empty(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.begins, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def __missing__(self, chunk: bytes) -> int:
         self.new.append(chunk)
@@ -272,32 +314,26 @@ class _Chunks(dict):
     def _learn(self) -> None:
         if not self.new:
             return
-        got: list = [None] * len(self.new)
-        whole = []
-        for k, chunk in enumerate(self.new):
-            text = chunk.decode("utf-8", "surrogatepass")
-            if b"<|" in chunk or len(text) > MODEL_CHARS or not text.isascii() and max(text) > "\xff":
-                whole.append((k, text))  # may hold added tokens, or letters that normalising changes
-                continue
-            words = self.split.findall(text.lower())
-            got[k] = self._word(words[0]) if len(words) == 1 else [i for w in words for i in self._word(w)]
-        for (k, _), e in zip(whole, self.library.encode_batch_fast([t for _, t in whole], add_special_tokens=False)):
-            got[k] = e.ids
-        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32)))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])))
+        texts = b"\n".join(self.new).decode("utf-8", "surrogatepass").split("\n")
+        whole = [k for k, t in enumerate(texts) if len(t) > MODEL_CHARS or self.odd(t)]
+        plain = np.ones(len(texts), bool)
+        plain[whole] = False
+        rest = texts if not whole else list(itertools.compress(texts, plain))
+        rows = self.words.rows(self.split.findall("\n".join([*rest, ""]).lower()))
+        size = self.words.ends[rows + 1] - self.words.ends[rows]
+        mine = self.words.flat[_spread(self.words.ends[rows], size)]
+        ends = np.cumsum(size)[rows == 0]
+        got = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)]
+        sizes = np.empty(len(texts), np.int64)
+        sizes[plain] = np.diff(ends, prepend=0)
+        sizes[whole] = [len(x) for x in got]
+        order = np.concatenate((np.flatnonzero(plain), np.array(whole, np.int64)))  # as the ids lie
+        begins = np.empty(len(texts), np.int64)
+        begins[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+        self.flat = np.concatenate((self.flat, mine, np.fromiter(itertools.chain.from_iterable(got), np.uint32)))
+        self.begins, self.sizes = np.concatenate((self.begins, begins)), np.concatenate((self.sizes, sizes))
         self.new = []
 
-    def _word(self, word: str) -> list[int]:
-        """The ids of one word of at most Latin-1 letters, by the library's model: such text is normal as
-        it is, so lower case and the file's word pattern are all that precede the model."""
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= DISTINCT:
-                self.words.clear()
-            shown = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
-            got = self.words[word] = [t.id for t in self.model.tokenize(shown)]
-        return got
-
     def ids(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and their lengths."""
         if len(self) >= DISTINCT:
@@ -306,17 +342,21 @@ class _Chunks(dict):
         words = np.array([len(t) for t in toks], np.int64)
         rows = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(toks)), np.int64, int(words.sum()))
         self._learn()
-        at, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        size = self.sizes[rows]
         total = np.concatenate(([0], np.cumsum(size)))
         last = np.cumsum(words)
         lengths = total[last] - total[last - words]
-        doc = np.repeat(np.arange(len(texts)), words)
         out = np.full(int(total[-1]) + len(texts), end, np.uint32)
-        from_ = np.repeat(at - total[:-1], size) + np.arange(total[-1])
-        out[np.arange(total[-1]) + np.repeat(doc, size)] = self.flat[from_]
+        out[np.arange(total[-1]) + np.repeat(np.arange(len(texts)), lengths)] = self.flat[_spread(self.begins[rows], size)]
         return out, lengths + 1
 
 
+@functools.lru_cache(maxsize=2)
+def _chunks(path: str) -> _Chunks:
+    """One table per worker, which outlives its tasks."""
+    return _Chunks(path)
+
+
 def write_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write shard files and return their manifest: part, seq, file, n_docs, n_tokens, start.
 
@@ -332,7 +372,7 @@ def write_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        chunks, names, held, sizes, size = _Chunks(path), [], [], [], 0
+        chunks, names, held, sizes, size = _chunks(path), [], [], [], 0
 
         def close():
             nonlocal seq, names, held, sizes, size
