@@ -201,6 +201,12 @@ class _Digests(dict):
             self.ids, self.texts, self.counts = [], [], []
 
 
+@functools.lru_cache(maxsize=2)
+def _digests(path: str) -> _Digests:
+    """One table per worker, which outlives its tasks."""
+    return _Digests(encoder(path))
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -208,7 +214,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", id_col: st
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; a map, no shuffle."""
 
     def digest(batches):
-        seen = _Digests(encoder(path))
+        seen = _digests(path)
         sha = lambda parts: hashlib.sha256(b" ".join(filter(None, parts))).hexdigest()
         for pdf in batches:
             rows = []
