@@ -2,8 +2,10 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is indexed. A query
 probes its nearest cells; in a cell, per-query distance tables rank the codes (asymmetric: the query is
-not quantised) and the best are reranked by exact cosine. Cells are split into slices of bounded size, so
-a hot cell is many tasks.
+not quantised). A code's score is wrong by at most the vector's quantisation error: every vector whose score
+plus error reaches the k-th score less error is reranked by exact cosine, however many they are, so within
+the probed cells the result is exact. Cells are split into slices of bounded size, so a hot cell is many
+tasks.
 
 Cases: vectors that are null, zero, of another length than the most common, or hold null or non-finite
 components take no part, as queries or candidates; ties go to the smaller id; rows that repeat an id are
@@ -27,8 +29,10 @@ MAX_CELLS = 4096
 SUBSPACES, CODES = 16, 64
 #: Vectors that a slice of a cell holds on average.
 SLICE = 2048
-#: Candidates reranked per query and slice.
-RERANK = 128
+#: Pairs of a query and a vector scored at once.
+PAIRS = 1 << 16
+#: Rounding of the quantised scores and their error bounds, in single precision, and of exact ones by blocks.
+ROUNDING, EXACT_ROUNDING = 1e-5, 1e-12
 #: Probes are set so that this share of the sample's true neighbours lies in probed cells.
 TARGET, TRIALS, LEAST_PROBES = 0.97, 256, 8
 SEED = 11
@@ -73,6 +77,13 @@ class Index:
         residual = unit - self.centroids[cell]
         return cell, np.stack([nearest_centroid(residual[:, p], b) for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
 
+    def errors(self, unit: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """How far each vector lies from its quantised form: no unit query scores it wrong by more."""
+        e = unit - self.centroids[cell]
+        for i, (p, b) in enumerate(zip(self.parts, self.books)):
+            e[:, p] -= b[codes[:, i]]
+        return np.sqrt((e * e).sum(axis=1))
+
     def _distances(self, unit: np.ndarray) -> np.ndarray:
         return (self.centroids * self.centroids).sum(axis=1) / 2 - unit @ self.centroids.T
 
@@ -92,18 +103,54 @@ class Index:
     def probes(self, unit: np.ndarray) -> np.ndarray:
         return np.argpartition(self._distances(unit), self.n_probes - 1, axis=1)[:, : self.n_probes]
 
-    def tables(self, unit: np.ndarray) -> np.ndarray:
-        """Inner products of one query with every code, subspace by subspace."""
-        t = np.zeros((len(self.parts), CODES), np.float32)
+    def scores(self, unit: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Inner products of queries with the quantised vectors of a cell, by tables of query and code."""
+        out = np.repeat((unit @ self.centroids[cell])[:, None], len(codes), axis=1)
         for i, (p, b) in enumerate(zip(self.parts, self.books)):
-            t[i, : len(b)] = b @ unit[p]
-        return t
+            out += (unit[:, p] @ b.T)[:, codes[:, i]]
+        return out
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact cosines of q with the rows of x, in double."""
-    q, x = q.astype(np.float64), x.astype(np.float64)
-    return (x @ q) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
+    """Exact cosines of the rows of q with those of x, in double; equal rows give equal bits."""
+    return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
+
+
+def units(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    x = np.stack(pdf["v"])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def nearest(index: Index, q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, vec_id, score: the k nearest to each query among the vectors of one slice of a cell."""
+    x = x.sort_values("vec_id", kind="stable")
+    ids, cell = x["vec_id"].to_numpy(), int(x["cell"].iloc[0])
+    codes = np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(len(x), -1)
+    full, unit = units(x)
+    error = index.errors(unit, cell, codes)
+    exact = full / np.linalg.norm(full, axis=1, keepdims=True)
+    asked, (full_q, unit_q) = q["vec_id"].to_numpy(), units(q)
+    exact_q = full_q / np.linalg.norm(full_q, axis=1, keepdims=True)
+    # a slice of k vectors or fewer gives them all
+    kth = lambda s: np.partition(s, -k, axis=1)[:, -k, None] if k < s.shape[1] else np.full((len(s), 1), -np.inf)
+    found, step = [], max(1, PAIRS // len(x))
+    for a in range(0, len(q), step):
+        b = slice(a, a + step)
+        own = asked[b, None] == ids[None]
+        score = index.scores(unit_q[b], cell, codes)
+        reach = ~own & (score + error >= kth(np.where(own, -np.inf, score - error)) - ROUNDING)
+        some = np.flatnonzero(reach.any(axis=0))
+        if not len(some):
+            continue
+        score = np.where(own[:, some], -np.inf, exact_q[b] @ exact[some].T)
+        i, j = np.nonzero(~own[:, some] & (score >= kth(score) - EXACT_ROUNDING))
+        i, j = i + a, some[j]
+        final = cosine(full_q[i], full[j])
+        order = np.lexsort((ids[j], -final, i))
+        order = order[np.arange(len(i)) - np.searchsorted(i, i[order]) < k]  # i ascends before and after
+        found.append(pd.DataFrame({"query_id": asked[i[order]], "vec_id": ids[j[order]], "score": final[order]}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "float64")})
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -131,11 +178,6 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     shared = spark.sparkContext.broadcast(index)
     slice_of = F.pmod(F.xxhash64(F.lit("slice"), "vec_id"), F.col("slices")).cast("int")
 
-    def units(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack(pdf["v"])
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        return x, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-
     def encode(batches):
         for pdf in batches:
             if len(pdf):
@@ -157,24 +199,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     asked = asked.join(sizes, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
 
     def answer(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "float64")})
         if not len(q) or not len(x):
-            return empty
-        x = x.sort_values("vec_id", kind="stable")
-        ids, full = x["vec_id"].to_numpy(), np.stack(x["v"])
-        codes = np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(len(x), -1)
-        _, unit = units(q)
-        found = []
-        for i, (qid, v) in enumerate(zip(q["vec_id"].tolist(), np.stack(q["v"]))):
-            other = np.flatnonzero(ids != qid)
-            if len(other) > RERANK:
-                table = shared.value.tables(unit[i])
-                near = table[np.arange(codes.shape[1])[None], codes[other]].sum(axis=1)
-                other = other[np.argsort(-near, kind="stable")[:RERANK]]
-            score = cosine(v, full[other])
-            best = np.lexsort((ids[other], -score))[:k]
-            found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[other][best], "score": score[best]}))
-        return pd.concat(found) if found else empty
+            return pd.DataFrame({"query_id": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "float64")})
+        return nearest(shared.value, q, x, k)
 
     pairs = asked.groupBy("cell", "slice").cogroup(listed.groupBy("cell", "slice")).applyInPandas(answer, out)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -130,6 +130,23 @@ def test_neighbours(spark):
     assert search(e.limit(0)).count() == 0
 
 
+def test_neighbours_among_near_copies(spark):
+    n, rng = 30_000, np.random.default_rng(5)
+    base, hot = rng.normal(size=(50, 64)), np.arange(n) % 3 == 0
+    x = base[rng.integers(0, 50, n)] + 0.3 * rng.normal(size=(n, 64))
+    x[hot] = base[0] + 0.02 * rng.normal(size=(hot.sum(), 64))
+    x = x.astype(np.float32)
+    got = search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>"), every=200).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = {True: [], False: []}
+    for q, g in got.groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -2
+        hits[bool(hot[q])].append(len(set(g["vec_id"]) & set(np.argsort(-s)[:5].tolist())) / 5)
+    assert len(hits[True]) + len(hits[False]) == n / 200
+    assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.95
+
+
 def library_ids(t):
     return LIBRARY.encode(t or "", add_special_tokens=False).ids
 
