@@ -4,12 +4,15 @@ Validated values are replaced by a keyed permutation of their own format, so equ
 across documents and no two values merge:
 
   e-mail local parts        letters and digits, class by class; the domain stays
-  phone numbers             all digits after the country code; separators stay
-  payment cards             Luhn-valid 13-19 digits; first digit stays, check digit is recomputed
+  phone numbers             all digits after the country code; separators stay; North American ones with or
+                            without +1, others of 8-15 digits after a +
+  payment cards             Luhn-valid 13-19 digits, unbroken or in groups of 4 or of 4-6-5 and 4-6-4; first
+                            digit stays, check digit is recomputed
   social security numbers   valid ddd-dd-dddd; walked on until valid again
   IPv4 addresses            the 32-bit number
   dates                     valid, 1920-01-01 to 2099-06-06 (65,536 days), in the written layout
-  access keys, tokens       AKIA + 16, and 16-64 letters and digits after token=, secret=, api_key=, password=
+  access keys, tokens       AKIA + 16, and 16 letters and digits or more after token=, secret=, api_key=, password=,
+                            in blocks of 64
 
 Cases: a null text stays null with 0 pseudonyms; an empty text stays empty; a document without values is
 returned byte for byte; rows and ids pass through as they are, repeated or null; extra columns are
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 EMAIL = r"(?<![\p{L}0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+"
 KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-TOKEN = r"(?<![\p{L}])(?i:token|secret|api_key|apikey|password) ?[=:] ?[\"']?[A-Za-z0-9]{16,64}+"
-PHONE = r"(?:(?<![0-9+])\+1[ .-]?|(?<![0-9+(]))\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}+|(?<![0-9.-])(?:\+?1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-][0-9]|[0-9])"
+TOKEN = r"(?<![\p{L}])(?i:token|secret|api_key|apikey|password) ?[=:] ?[\"']?[A-Za-z0-9]{16,}+"
+PHONE = r"(?:(?<![0-9+])\+1[ .-]?|(?<![0-9+(]))\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}+|(?<![0-9.-])(?:\+?1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-][0-9]|[0-9])|(?<![0-9+])\+[0-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9-])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7})(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{4,5})(?![0-9])"
 #: Few characters can start a number: the test before their alternatives keeps the scan short.
 NUMBER = rf"(?=[0-9+(])(?:{'|'.join([PHONE, SSN, DATE, IPV4, CARD])})"
 PATTERN = "|".join([EMAIL, KEY, TOKEN, NUMBER])
@@ -162,12 +165,20 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays: +1, or the first two digits of an unbroken international number."""
+    """The country code stays: the digits before the first separator, or of an international number whose
+    code stands unbroken before the rest, the first two (one after +1)."""
     d = _digits(m)
-    keep = F.when(m.rlike(r"^\+[0-9]{8,}$") & ~m.rlike(r"^\+1[0-9]{10}$"), 2).otherwise(F.when(F.length(d) == 11, 1).otherwise(0))
+    keep = F.when(m.rlike(r"^\+[0-9]{1,3}[^0-9]"), F.length(F.regexp_extract(m, r"^\+([0-9]+)", 1))).when(m.rlike(r"^\+[0-9]{4}") & ~m.rlike(r"^\+1[0-9]{10}$"), 2).otherwise(F.when(F.length(d) == 11, 1).otherwise(0))
     return _let(F.struct(d.alias("d"), keep.alias("k")), lambda s: _fill(m, F.concat(F.substr(s["d"], F.lit(1), s["k"]), permute(F.substr(s["d"], s["k"] + 1, F.length(s["d"])), key, "phone"))))
 
 
+def _token(x: Column, key: str) -> Column:
+    """A digest moves the halves of 64 characters: longer values go block by block."""
+    blocks = F.regexp_extract_all(x, F.lit(".{1,64}"), F.lit(0))
+    of = lambda kind: F.array_join(F.transform(blocks, lambda b: permute(b, key, kind)), "")
+    return F.when(x.rlike("^[0-9a-f]+$"), of("hex")).otherwise(of("token"))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The replacement of one matched value (unchanged where it doesn't validate)."""
     local = F.substring_index(m, "@", 1)
@@ -176,7 +187,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return (
         F.when(m.contains("@"), F.concat(permute(local, key, "mail"), F.substr(m, F.length(local) + 1, F.length(m))))
         .when(m.rlike("^AKIA[A-Z0-9]{16}$"), F.concat(F.lit("AKIA"), permute(F.substr(m, F.lit(5), F.lit(16)), key, "key")))
-        .when(m.rlike("^[A-Za-z]"), F.concat(head, F.when(tail.rlike("^[0-9a-f]+$"), permute(tail, key, "hex")).otherwise(permute(tail, key, "token"))))
+        .when(m.rlike("^[A-Za-z]"), F.concat(head, _token(tail, key)))
         .when(m.rlike(rf"^{IPV4}$"), _ip(m, key))
         .when(m.rlike(rf"^{SSN}$"), _ssn(m, key))
         .when(m.rlike(rf"^{DATE}$"), _date(m, key))

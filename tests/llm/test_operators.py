@@ -301,6 +301,18 @@ def test_pseudonyms(spark):
     assert r[5] == t[5] and all(x != y for x, y in zip(r[:5], t))
 
 
+def test_pseudonyms_of_every_length_and_grouping(spark):
+    long, short = "aB3" * 100, "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    t = [f"secret={long} end", f"secret={short}{short}", "3782 822463 10005 or 3782-822463-10005", "+44 20 7946 0958", "+353 (1) 234 5678.", "+4420 7946 0958", "3782 822463 10006"]
+    r = [x.text for x in pseudonymise(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert re.fullmatch("secret=(?:[a-z][A-Z][0-9]){100} end", r[0]) and re.fullmatch("secret=[0-9a-f]{80}", r[1])
+    assert all(r[0][k : k + 12] != t[0][k : k + 12] for k in range(7, 295)) and r[1][71:] != t[1][71:]
+    a, b = (re.sub("[ -]", "", x) for x in r[2].split(" or "))
+    assert a == b != "378282246310005" and luhn(a) and re.fullmatch(r"3\d{3} \d{6} \d{5} or 3\d{3}-\d{6}-\d{5}", r[2])
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}", r[3]) and re.fullmatch(r"\+353 \(\d\) \d{3} \d{4}\.", r[4]) and re.fullmatch(r"\+44\d\d \d{4} \d{4}", r[5])
+    assert all(x != y for x, y in zip(r[:6], t)) and r[6] == t[6]
+
+
 def test_pseudonyms_permute(spark):
     cards = [f"4{k:014d}" for k in range(300)]
     cards = [c + next(str(x) for x in range(10) if luhn(c + str(x))) for c in cards]
