@@ -146,10 +146,11 @@ def language_id(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return identify(d, langs, matrix, "text", ["doc_id"]).select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs whose language is found with that score, with all their columns."""
+def keep_identified(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs to which language_id gives a language, with all their columns. Its score decides nothing:
+    a posterior over all n-grams is near 1 for any long text, and low only for short ones."""
     langs, matrix = train(docs, text_col, id_col, lang_col, train_rows)
     safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     scored = identify(safe, langs, matrix, f"c{docs.columns.index(text_col)}", safe.columns)
-    found = scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    found = scored.filter(F.col("lang_pred") != "und")
     return found.select(*[F.col(c).alias(k) for c, k in zip(safe.columns, docs.columns)])

@@ -266,6 +266,14 @@ def test_language(spark):
     assert {r.doc_id for r in language_id(d.unionByName(d.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("1 2 3").alias("text"), "lang", "source", "n_chars"))).filter("lang_pred = 'und'").collect()} == {-1}
 
 
+def test_keep_identified_rejects_what_has_no_language(spark):
+    rows = [(k, "the very same words", lang) for k, lang in enumerate(["de", "en", "es", "fr"] * 5)] + [(100, "the", None), (101, "12 !", None), (102, None, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    given = {r.doc_id: r.score for r in language_id(d).filter("lang_pred <> 'und'").collect()}
+    assert set(given) == {*range(20), 100} and max(given.values()) < 0.5
+    assert {r.doc_id for r in keep_identified(d).collect()} == set(given)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SF), queries.SQL[name], SF)
