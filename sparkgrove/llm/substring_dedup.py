@@ -1,7 +1,8 @@
-"""Substring dedup by distributed prefix doubling over sampled suffixes.
+"""Substring dedup by fingerprints of min-hash anchors, in place of distributed prefix doubling.
 
-A byte is removed when a LENGTH-byte string over it also starts in a document with a smaller id. Sorting
-all suffixes of 100 TB is out of reach, so the doubling runs over suffixes that the text itself selects:
+A byte is removed when a LENGTH-byte string over it also starts in a document with a smaller id. There is
+no suffix array and no round of (position, rank) pairs: positions that the text itself selects are grouped by
+hash, and doubling is only how a hash is computed inside one document:
 
 1. Names of 1, 2, 4, 8, 16 and 20 bytes are formed by doubling inside each document (the name of 2h bytes
    at p pairs the names of h bytes at p and p + h). A position is an anchor if its 20-byte name is the
