@@ -18,7 +18,6 @@ import functools
 import itertools
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -26,13 +25,13 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkgrove.llm.bpe import byte_symbols, split_pattern
+from sparkgrove.llm.bpe import byte_symbols, word_pattern
+from sparkgrove.llm.words import LONGEST, PATTERN, Words, odd, pieces, spread
 from sparkgrove.session import materialise, shared_dir
 
 MAGIC = b"WVMX0001"
@@ -40,11 +39,6 @@ BLOCK = 512  # bits that one rank count covers
 CHUNK = 1 << 16  # bytes of bits that decompress together
 #: Tokens after which a task closes its file and opens the next.
 SHARD_TOKENS = 4_000_000
-DISTINCT = 400_000
-#: Longest chunk given to the model without the rest of the library.
-MODEL_CHARS = 256
-#: Characters encoded together.
-SLICE = 1_000_000
 
 
 # files -------------------------------------------------------------------------------------------
@@ -227,134 +221,66 @@ class Shard:
 # operator ----------------------------------------------------------------------------------------
 
 
-@functools.lru_cache(maxsize=2)
-def _library(path: str):
-    """The library's tokenizer, and its file's word pattern."""
-    from tokenizers import Tokenizer
-
-    with open(path, encoding="utf-8") as f:
-        pattern = split_pattern(json.load(f))
-    return Tokenizer.from_file(path), regex.compile(pattern)
-
-
-def _slices(texts: list[str | None]):
-    """Runs of texts of about SLICE characters."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
-def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The indexes of ranges laid end to end."""
-    return np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-
-class _Words(dict):
-    """Words of at most Latin-1 letters to rows of a flat table of ids, by the library's model: such text is
-    normal as it is, so lower case and the file's word pattern are all that precede the model. Row 0, a line
-    feed, has no ids."""
-
-    def __init__(self, model) -> None:
-        super().__init__()
-        self.model, self.symbols = model, byte_symbols()
-        self.empty()
-
-    def empty(self) -> None:
-        self.clear()
-        self["\n"] = 0
-        self.new: list[str] = []
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(2, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        k = self[word] = len(self)
-        return k
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        if len(self) >= DISTINCT:
-            self.empty()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            sym, model = self.symbols, self.model.tokenize
-            got = [[t.id for t in model(w if w.isascii() and w.isprintable() else "".join([sym[b] for b in w.encode()]))] for w in self.new]
-            self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32)))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(list(map(len, got)))))
-            self.new = []
-        return rows
-
-
-class _Chunks(dict):
-    """Chunk bytes to a row of a flat table of ids. The file's words never span [\\x20\\x09-\\x0D], so a
-    text's ids are those of its stretches between; each distinct one is encoded, in batches."""
+class _Ids:
+    """Ids of whole texts: each distinct word of Latin-1 text by the library's model, other text by the
+    whole library."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.library, split = _library(path)
-        self.split = regex.compile(f"(?:{split.pattern})|\n")
-        self.odd = re.compile(r"[^\x00-\xff]|<\|").search  # letters that normalising changes, or added tokens
-        self.words = _Words(self.library.model)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.flat, self.begins, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def __missing__(self, chunk: bytes) -> int:
-        self.new.append(chunk)
-        k = self[chunk] = len(self)
-        return k
-
-    def _learn(self) -> None:
-        if not self.new:
-            return
-        texts = b"\n".join(self.new).decode("utf-8", "surrogatepass").split("\n")
-        whole = [k for k, t in enumerate(texts) if len(t) > MODEL_CHARS or self.odd(t)]
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.known = word_pattern(json.load(f)) == PATTERN
+        self.symbols = byte_symbols()
+        self.words = Words(self.learn, self.forget)
+
+    def forget(self) -> None:
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        sym, model = self.symbols, self.library.model.tokenize
+        shown = lambda w: w if w.isascii() and w.isprintable() else "".join([sym[b] for b in w.encode()])
+        # the model's time grows with the square of a word's length; the library's does not
+        got = [[t.id for t in model(shown(w))] if len(w) <= LONGEST else self.library.encode(w, add_special_tokens=False).ids for w in words]
+        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(list(map(len, got)))))
+
+    def _of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts and their lengths."""
+        away = [k for k, t in enumerate(texts) if not self.known or odd(t)]
         plain = np.ones(len(texts), bool)
-        plain[whole] = False
-        rest = texts if not whole else list(itertools.compress(texts, plain))
-        rows = self.words.rows(self.split.findall("\n".join([*rest, ""]).lower()))
-        size = self.words.ends[rows + 1] - self.words.ends[rows]
-        mine = self.words.flat[_spread(self.words.ends[rows], size)]
-        ends = np.cumsum(size)[rows == 0]
-        got = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)]
-        sizes = np.empty(len(texts), np.int64)
-        sizes[plain] = np.diff(ends, prepend=0)
-        sizes[whole] = [len(x) for x in got]
-        order = np.concatenate((np.flatnonzero(plain), np.array(whole, np.int64)))  # as the ids lie
-        begins = np.empty(len(texts), np.int64)
-        begins[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
-        self.flat = np.concatenate((self.flat, mine, np.fromiter(itertools.chain.from_iterable(got), np.uint32)))
-        self.begins, self.sizes = np.concatenate((self.begins, begins)), np.concatenate((self.sizes, sizes))
-        self.new = []
-
-    def ids(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by the end id, and their lengths."""
-        if len(self) >= DISTINCT:
-            self._empty()
-        toks = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        words = np.array([len(t) for t in toks], np.int64)
-        rows = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(toks)), np.int64, int(words.sum()))
-        self._learn()
-        size = self.sizes[rows]
-        total = np.concatenate(([0], np.cumsum(size)))
-        last = np.cumsum(words)
-        lengths = total[last] - total[last - words]
-        out = np.full(int(total[-1]) + len(texts), end, np.uint32)
-        out[np.arange(total[-1]) + np.repeat(np.arange(len(texts)), lengths)] = self.flat[_spread(self.begins[rows], size)]
-        return out, lengths + 1
+        plain[away] = False
+        rows, words = self.words.rows(list(itertools.compress(texts, plain)))
+        size = self.ends[rows + 1] - self.ends[rows]
+        total, last = np.concatenate(([0], np.cumsum(size))), np.cumsum(words)
+        got = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in away], add_special_tokens=False)] if away else []
+        lengths = np.empty(len(texts), np.int64)
+        lengths[plain], lengths[away] = total[last] - total[last - words], list(map(len, got))
+        out = np.empty(int(lengths.sum()), np.uint32)
+        begin = np.cumsum(lengths) - lengths
+        out[spread(begin[plain], lengths[plain])] = self.flat[spread(self.ends[rows], size)]
+        for k, ids in zip(away, got):
+            out[begin[k] : begin[k] + len(ids)] = ids
+        return out, lengths
+
+    def ids(self, texts: list[str | None], end: int):
+        """(ids of some whole texts, each followed by the end id; their lengths), in order."""
+        begun = np.empty(0, np.uint32)
+        for some, goes_on in pieces(texts):
+            flat, lengths = self._of(some)
+            flat, lengths[0] = np.concatenate((begun, flat)), lengths[0] + len(begun)
+            cut = len(flat) - (int(lengths[-1]) if goes_on else 0)
+            begun, flat, lengths = flat[cut:], flat[:cut], lengths[: len(lengths) - goes_on]
+            out = np.full(len(flat) + len(lengths), end, np.uint32)
+            out[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = flat
+            yield out, lengths + 1
 
 
 @functools.lru_cache(maxsize=2)
-def _chunks(path: str) -> _Chunks:
+def _ids(path: str) -> _Ids:
     """One table per worker, which outlives its tasks."""
-    return _Chunks(path)
+    return _Ids(path)
 
 
 def write_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -365,14 +291,16 @@ def write_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # a nullable id would pass through pandas as a float
+    d = d.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = d.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    placed = d.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).select("id", "none", "text")
 
     def write(batches):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        chunks, names, held, sizes, size = _chunks(path), [], [], [], 0
+        encode, names, held, sizes, size = _ids(path).ids, [], [], [], 0
 
         def close():
             nonlocal seq, names, held, sizes, size
@@ -383,11 +311,11 @@ def write_tokens(docs: DataFrame, path: str, out: str | None = None, end_id: int
             return pd.DataFrame([row], columns=["part", "seq", "file", "n_docs", "n_tokens"])
 
         for pdf in batches:
-            ids = [None if null else int(d) for d, null in zip(pdf["doc_id"].tolist(), pdf["doc_id"].isna().tolist())]
-            texts = pdf["text"].tolist()
-            for a, b in _slices(texts):
-                tokens, lengths = chunks.ids(texts[a:b], end_id)
-                names += ids[a:b]
+            ids = [None if none else d for d, none in zip(pdf["id"].tolist(), pdf["none"].tolist())]
+            at = 0
+            for tokens, lengths in encode(pdf["text"].tolist(), end_id):
+                names += ids[at : at + len(lengths)]
+                at += len(lengths)
                 held.append(tokens), sizes.append(lengths)
                 size += len(tokens)
                 if size >= shard_tokens:
