@@ -4,9 +4,11 @@ For every prefix of a word the encoding has one last token: of the vocabulary's
 of the prefix (an automaton lists them) it is the one that can follow the last token of what it leaves.
 Two tokens can follow each other if merging their joined symbols gives back the two, which a walk over
 the facing edges of their merge trees decides. Back-pointers from the whole word give the exact ids.
+The new words of a batch are encoded together, prefix by prefix, in arrays.
 
-Cases of encode_decode: a null text counts as empty and has no tokens; rows pass through one by one,
-repeated or with null ids; extra columns are ignored; an empty table gives an empty result.
+Cases of encode_decode: a null text counts as empty and has no tokens; ids stay in Spark, so rows pass
+through one by one, repeated or with null ids; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -15,17 +17,21 @@ import functools
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkgrove.llm.words import LONGEST, PATTERN, Words, odd, pieces, spread
+
 END = "</w>"
 _STOP = "\x00"  # stands for END as one symbol
-#: Distinct chunks and words remembered per worker; emptied when full.
-CHUNKS, WORDS, PAIRS = 250_000, 250_000, 1_000_000
+#: Distinct words (of text that isn't Latin-1) and pairs of tokens remembered per worker; emptied when full.
+WORDS, PAIRS = 100_000, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -63,6 +69,8 @@ class Encoder:
             if t != _STOP and self._stands(i):
                 self.matches.add_word(t, (i, len(t)))
         self.matches.make_automaton()
+        self._trie()
+        self.pattern = word_pattern(spec)
         self.words = regex.compile(split_pattern(spec))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._pairs: dict[tuple[int, int], bool] = {}
@@ -100,6 +108,83 @@ class Encoder:
                 self._whole[t] = self._stands(l) and self._stands(r) and not self._crossed(l, r, but=(l, r))
         return self._whole[t]
 
+    def _trie(self) -> None:
+        """The same tokens as a trie in sorted arrays: edges (node, symbol) -> node, and each node's token."""
+        number = {c: b for b, c in enumerate(self.symbols)} | {_STOP: 256}
+        edges: dict[int, int] = {}
+        token = [-1]
+        for t, (i, _) in self.matches.items():
+            node = 0
+            for c in t:
+                key = node << 9 | number[c]
+                if key not in edges:
+                    edges[key] = len(token)
+                    token.append(-1)
+                node = edges[key]
+            token[node] = i
+        keys = np.fromiter(edges, np.int64, len(edges))
+        order = np.argsort(keys)
+        self._edges, self._child = keys[order], np.fromiter(edges.values(), np.int64, len(edges))[order]
+        self._token = np.array(token, np.int64)
+
+    def _all_matches(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, token) of every token in the symbols; none crosses a word's end."""
+        at, node, k, found = np.arange(len(s)), np.zeros(len(s), np.int64), 0, []
+        while len(at):
+            key = node << 9 | s[at + k]
+            e = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+            ok = self._edges[e] == key
+            at, node, k = at[ok], self._child[e[ok]], k + 1
+            t = self._token[node]
+            hit = t >= 0
+            found.append((at[hit], np.full(int(hit.sum()), k), t[hit]))
+            on = at + k < len(s)
+            at, node = at[on], node[on]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+
+    def _follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pairs, back = np.unique(a << 20 | b, return_inverse=True)
+        return np.array([self.can_follow(p >> 20, p & 0xFFFFF) for p in pairs.tolist()], bool)[back]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids laid end to end, number of each word's) of words given as text, by all their prefixes at once."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        n = np.array([len(b) + 1 for b in raw], np.int64)
+        s = np.concatenate((np.frombuffer(b"\0".join([*raw, b""]), np.uint8).astype(np.int64), np.empty(0, np.int64)))
+        final = np.cumsum(n) - 1
+        s[final] = 256
+        begin = final - n + 1
+        own = np.repeat(begin, n)
+        start, size, token = self._all_matches(s)
+        end = start + size - own[start]  # the prefix's length
+        order = np.lexsort((-size, end))
+        start, size, token, end = start[order], size[order], token[order], end[order]
+        cuts = np.flatnonzero(np.concatenate(([True], (end[1:] != end[:-1]) | (size[1:] != size[:-1]), [True])))
+        last, width = np.full(len(s), -1), np.zeros(len(s), np.int64)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            k = int(size[x])
+            p = start[x:y] + k - 1
+            open_ = last[p] < 0
+            a, p, t = start[x:y][open_], p[open_], token[x:y][open_]
+            if int(end[x]) > k:
+                before = last[a - 1]
+                ok = before >= 0
+                ok[ok] = self._follow(before[ok], t[ok])
+                p, t = p[ok], t[ok]
+            last[p], width[p] = t, k
+        if len(s) and (last[final] < 0).any():
+            raise ValueError(f"no encoding of {words[int(np.flatnonzero(last[final] < 0)[0])]!r}")
+        at, who, step, got = final.copy(), np.arange(len(words)), 0, []
+        while len(at):
+            got.append((who, np.full(len(who), -step), last[at]))
+            at, step = at - width[at], step + 1
+            on = at >= begin[who]
+            at, who = at[on], who[on]
+        if not got:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        who, step, ids = (np.concatenate(x) for x in zip(*got))
+        return ids[np.lexsort((step, who))], np.bincount(who, minlength=len(words))
+
     def can_follow(self, a: int, b: int) -> bool:
         known = self._pairs.get((a, b))
         if known is None:
@@ -169,10 +254,13 @@ class Encoder:
         return " ".join(self.shown[i] for i in ids)
 
 
+def word_pattern(spec: dict) -> str:
+    return spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+
+
 def split_pattern(spec: dict) -> str:
     """The file's word pattern, with white space by its Unicode property as the library has it."""
-    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-    return pattern.replace(r"[^\s", r"[^\p{White_Space}")
+    return word_pattern(spec).replace(r"[^\s", r"[^\p{White_Space}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -180,62 +268,123 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class _Digests(dict):
-    """Chunk bytes to a row number of three lists: ids as text, decoded text, number of ids."""
+class _Digests:
+    """Per distinct word: its ids as text and its decoded text, a blank after each token, and its number of ids."""
+
+    def __init__(self, path: str) -> None:
+        self.enc = encoder(path)
+        ids = [i for i in range(max(self.enc.shown) + 1)]
+        self.shown = [_Flat([f"{i} ".encode() for i in ids]), _Flat([f"{self.enc.shown.get(i, '')} ".encode("utf-8", "surrogatepass") for i in ids])]
+        self.words = Words(self.learn, self.forget)
+
+    def forget(self) -> None:
+        self.counts = np.empty(0, np.int64)
+        self.written = [_Flat([]), _Flat([])]
+
+    def learn(self, words: list[str]) -> None:
+        short = np.array([len(w) <= LONGEST for w in words])
+        flat, sizes = self.enc.encode_words([w for w, s in zip(words, short.tolist()) if s])
+        counts = np.empty(len(words), np.int64)
+        counts[short] = sizes
+        rest = [self.enc.encode(w) for w, s in zip(words, short.tolist()) if not s]
+        counts[~short] = list(map(len, rest))
+        ids, begin = np.empty(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+        ids[spread(begin[short], sizes)] = flat
+        for a, got in zip(begin[~short].tolist(), rest):
+            ids[a : a + len(got)] = got
+        self.counts = np.concatenate((self.counts, counts))
+        for written, shown in zip(self.written, self.shown):
+            written.add(*shown.joined(ids, counts))
+
+    def rows(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """(n_tokens, ids_sha256, decoded_sha256) of each text."""
+        out, n, sums = [], 0, None
+        for some, goes_on in pieces(texts):
+            away = [self.enc.pattern != PATTERN or odd(t) for t in some]
+            rows, words = self.words.rows([t for t, o in zip(some, away) if not o])
+            tokens = np.concatenate(([0], np.cumsum(self.counts[rows])))
+            last = np.cumsum(words)
+            parts = iter(zip((tokens[last] - tokens[last - words]).tolist(), *[w.texts(rows, words) for w in self.written]))
+            for k, (t, o) in enumerate(zip(some, away)):
+                if o:
+                    ids = self.enc.encode(t)
+                    part = len(ids), *[s.texts(np.array(ids, np.int64), np.array([len(ids)]))[0] for s in self.shown]
+                else:
+                    part = next(parts)
+                sums = sums or [_Sum(), _Sum()]
+                n += part[0]
+                for s, text in zip(sums, part[1:]):
+                    s.add(text)
+                if k < len(some) - 1 or not goes_on:
+                    out.append((n, *[s.digest() for s in sums]))
+                    n, sums = 0, None
+        return out
+
+
+class _Sum:
+    """SHA-256 of what is added, without the last blank."""
+
+    def __init__(self) -> None:
+        self.sha, self.blank = hashlib.sha256(), False
+
+    def add(self, text: memoryview) -> None:
+        if len(text):
+            if self.blank:
+                self.sha.update(b" ")
+            self.sha.update(text[: len(text) - 1])
+            self.blank = True
+
+    def digest(self) -> str:
+        return self.sha.hexdigest()
+
 
-    def __init__(self, enc: Encoder) -> None:
-        super().__init__()
-        self.enc, self.ids, self.texts, self.counts = enc, [], [], []
+class _Flat:
+    """Byte strings laid end to end."""
 
-    def __missing__(self, chunk: bytes) -> int:
-        ids = self.enc.encode_chunk(chunk.decode("utf-8", "surrogatepass"))
-        self.ids.append(" ".join(map(str, ids)).encode())
-        self.texts.append(self.enc.decode(ids).encode("utf-8", "surrogatepass"))
-        self.counts.append(len(ids))
-        k = self[chunk] = len(self.counts) - 1
-        return k
+    def __init__(self, parts: list[bytes]) -> None:
+        self.bytes, self.ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
 
-    def trim(self) -> None:
-        if len(self) >= CHUNKS:
-            self.clear()
-            self.ids, self.texts, self.counts = [], [], []
+    def add(self, raw: np.ndarray, sizes: np.ndarray) -> None:
+        self.bytes, self.ends = np.concatenate((self.bytes, raw)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+
+    def joined(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the strings of all rows, bytes of each run of counts rows)."""
+        size = self.ends[rows + 1] - self.ends[rows]
+        total, last = np.concatenate(([0], np.cumsum(size))), np.cumsum(counts)
+        return self.bytes[spread(self.ends[rows], size)], total[last] - total[last - counts]
+
+    def texts(self, rows: np.ndarray, counts: np.ndarray) -> list[memoryview]:
+        raw, sizes = self.joined(rows, counts)
+        ends, view = np.cumsum(sizes).tolist(), memoryview(raw)
+        return [view[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @functools.lru_cache(maxsize=2)
 def _digests(path: str) -> _Digests:
     """One table per worker, which outlives its tasks."""
-    return _Digests(encoder(path))
-
-
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _Digests(path)
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; a map, no shuffle."""
 
-    def digest(batches):
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen = _digests(path)
-        sha = lambda parts: hashlib.sha256(b" ".join(filter(None, parts))).hexdigest()
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                seen.trim()
-                k = list(map(seen.__getitem__, text.encode("utf-8", "surrogatepass").split())) if text else []
-                rows.append((doc_id, sum(map(seen.counts.__getitem__, k)), sha(map(seen.ids.__getitem__, k)), sha(map(seen.texts.__getitem__, k))))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            out["doc_id"] = pdf["doc_id"].array
-            yield out
+        for texts in batches:
+            yield pd.DataFrame(seen.rows(texts.tolist()), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(digest, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")
 
 
 def encode_ids(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, ids ARRAY<INT>, decoded STRING: the operator's full output."""
 
-    def run(batches):
+    @F.pandas_udf("ids array<int>, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        for pdf in batches:
-            ids = [enc.encode(t) for t in pdf["text"].tolist()]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "ids": ids, "decoded": [enc.decode(i) for i in ids]})
+        for texts in batches:
+            ids = [enc.encode(t) for t in texts.tolist()]
+            yield pd.DataFrame({"ids": ids, "decoded": [enc.decode(i) for i in ids]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")
