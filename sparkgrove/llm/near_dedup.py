@@ -17,6 +17,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,18 +44,18 @@ def chunks_for(percent: int) -> int:
 def signatures(docs: DataFrame, width: int, text_col: str, id_col: str) -> DataFrame:
     """doc_id, n (shingles), print (128-bit hash of the set), sig (128 bytes); null print without shingles."""
 
-    def run(batches):
-        for pdf in batches:
+    @F.pandas_udf("n long, print binary, sig binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
             n, prints, sigs = [], [], []
-            for t in pdf["text"].tolist():
+            for t in texts.tolist():
                 s = shingle_set(t, width)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n": n, "print": prints, "sig": sigs})
+            yield pd.DataFrame({"n": n, "print": prints, "sig": sigs})
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInPandas(run, "doc_id long, n long, print binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), run(F.col(text_col).cast("string")).alias("s")).select("doc_id", "s.*")
 
 
 def index_keys(sig: Column, m: int) -> Column:
