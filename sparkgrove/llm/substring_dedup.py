@@ -26,6 +26,7 @@ as smaller than each other; extra columns are ignored; an empty table gives an e
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -358,10 +359,12 @@ def cut_spans(n: int, starts: np.ndarray) -> np.ndarray:
 
 
 def _cut(digest: bool):
-    def run(batches):
-        for pdf in batches:
+    """The columns of the result but the id, from (text, found, copied)."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
             rows = []
-            for text, found, copied in zip(pdf["text"].tolist(), pdf["found"].tolist(), pdf["copied"].tolist()):
+            for text, found, copied in zip(*[c.tolist() for c in columns]):
                 b = _encode(text)
                 if copied and len(b) >= LENGTH:
                     spans = np.array([[0, len(b)]])
@@ -377,11 +380,9 @@ def _cut(digest: bool):
                     rows.append((len(b), len(b) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
                 else:
                     rows.append((rest, [{"begin": x, "end": y} for x, y in spans.tolist()]))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["rest", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["rest", "spans"])
 
-    return run
+    return F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "rest binary, spans array<struct<begin:int,end:int>>")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest: bool = True) -> DataFrame:
@@ -404,5 +405,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     around = held.join(gather(shared, 1), ["doc", "key"], "left").select("doc_id", "doc", "key", "text", "found").mapInPandas(_contexts(buckets), CONTEXTS)
     marked = around.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_mark(parts), FOUND)
     last = held.join(gather(marked, 2), ["doc", "key"], "left").join(copies, ["doc", "key"], "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, rest binary, spans array<struct<begin:int,end:int>>"
-    return last.select("doc_id", "text", "found", F.coalesce("copied", F.lit(False)).alias("copied")).mapInPandas(_cut(digest), schema)
+    return last.select("doc_id", _cut(digest)("text", "found", F.coalesce("copied", F.lit(False))).alias("c")).select("doc_id", "c.*")
