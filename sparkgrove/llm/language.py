@@ -96,9 +96,13 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_
                 mine = [t for t, l in zip(texts, langs) if l == lang]
                 acc = total.setdefault(lang, np.zeros(BUCKETS >> shift, np.int64))
                 for a, b in slices(mine):
-                    cp, _ = codepoints(mine[a:b])
+                    cp, starts = codepoints(mine[a:b])
                     for k in ORDERS:
-                        acc += np.bincount(buckets(cp, k) >> shift, minlength=len(acc))
+                        inside = np.ones(len(cp), bool)  # n-grams that cross into the next text don't count
+                        for back in range(1, k):
+                            inside[np.maximum(starts[1:] - back, 0)] = False
+                        h = buckets(cp, k)
+                        acc += np.bincount(h[inside[: len(h)]] >> shift, minlength=len(acc))
         for lang, acc in total.items():
             hit = np.flatnonzero(acc)
             yield pd.DataFrame({"lang": lang, "bucket": hit.astype("int32"), "n": acc[hit]})

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrove.llm.components import components
+from sparkgrove.llm.membership import split
 from sparkgrove.llm.shingles import SYMBOLS, shingle_set, signature
 from sparkgrove.session import materialise
 
@@ -160,6 +161,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text_col: st
     blocks = coarse.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = coarse.join(blocks, "comp").select(F.col("node").alias("rep"), "comp", "blocks")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts, _ = split(texts, F.xxhash64("doc_id"), members.select(F.xxhash64("rep")))
     full = _full_sets(texts.join(members.hint("merge"), texts["doc_id"] == members["rep"]).select("doc_id", "comp", "blocks", "text"), width)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     units = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -188,4 +190,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text_col: st
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, one document of each component, with all their columns."""
     gone = near_groups(docs, width, percent, text_col, id_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = materialise(gone, "gone")
+    # whole rows travel only where they may go
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"))
+    maybe, sure = split(rows, F.when(F.col("_id").isNotNull(), F.xxhash64("_id")), gone.select(F.xxhash64("_gone")))
+    stay = maybe.join(gone, maybe["_id"] == gone["_gone"], "left_anti")
+    return sure.unionByName(stay).select("row.*")

@@ -7,9 +7,9 @@ plus error reaches the k-th score less error is reranked by exact cosine, howeve
 the probed cells the result is exact. Cells are split into slices of bounded size, so a hot cell is many
 tasks.
 
-Cases: vectors that are null, zero, of another length than the most common, or hold null or non-finite
-components take no part, as queries or candidates; ties go to the smaller id; rows that repeat an id are
-separate candidates, never of a query with that id; fewer candidates than k gives them all; null ids take
+Cases: vectors that are null, zero, empty, or hold null or non-finite components take no part, as queries
+or candidates; one shorter than the longest counts as followed by zeros; ties go to the smaller id; rows that repeat an id are
+separate candidates, never of a query with that id, and queries of their own unless wholly equal; fewer candidates than k gives them all; null ids take
 no part; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -111,26 +111,34 @@ class Index:
         return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to [1/2, 1): no square of what counts is
+    too large or too small, and no digit of it changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact cosines of the rows of q with those of x, in double; equal rows give equal bits."""
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
 def units(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack(pdf["v"])
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(np.stack(pdf["v"]))
     return x, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+NONE = pd.DataFrame({"query_id": np.array([], "int64"), "q": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "float64")})
+
+
 def nearest(index: Index, q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score: the k nearest to each query among the vectors of one slice of a cell."""
+    """query_id, q, vec_id, score: the k nearest to each query (q names its vector) among the vectors of one slice of a cell."""
     x = x.sort_values("vec_id", kind="stable")
     ids, cell = x["vec_id"].to_numpy(), int(x["cell"].iloc[0])
     codes = np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(len(x), -1)
     full, unit = units(x)
     error = index.errors(unit, cell, codes)
     exact = full / np.linalg.norm(full, axis=1, keepdims=True)
-    asked, (full_q, unit_q) = q["vec_id"].to_numpy(), units(q)
+    asked, named, (full_q, unit_q) = q["vec_id"].to_numpy(), q["q"].to_numpy(), units(q)
     exact_q = full_q / np.linalg.norm(full_q, axis=1, keepdims=True)
     # a slice of k vectors or fewer gives them all
     kth = lambda s: np.partition(s, -k, axis=1)[:, -k, None] if k < s.shape[1] else np.full((len(s), 1), -np.inf)
@@ -149,8 +157,8 @@ def nearest(index: Index, q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFr
         final = cosine(full_q[i], full[j])
         order = np.lexsort((ids[j], -final, i))
         order = order[np.arange(len(i)) - np.searchsorted(i, i[order]) < k]  # i ascends before and after
-        found.append(pd.DataFrame({"query_id": asked[i[order]], "vec_id": ids[j[order]], "score": final[order]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "float64")})
+        found.append(pd.DataFrame({"query_id": asked[i[order]], "q": named[i[order]], "vec_id": ids[j[order]], "score": final[order]}))
+    return pd.concat(found) if found else NONE
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -158,13 +166,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.filter(~bad & F.exists("v", lambda x: x != 0))
-    common = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.filter(F.size("v") == (common.d if common else 0))
+    longest = v.agg(F.max(F.size("v"))).first()[0] or 0
+    padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))
+    return v.select("vec_id", F.when(F.size("v") == longest, F.col("v")).otherwise(padded).alias("v"))
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by every."""
-    out = "query_id long, vec_id long, score double"
+    out = "query_id long, q long, vec_id long, score double"
     spark = vectors.sparkSession
     good = usable(vectors, id_col, vector_col)
     n = good.count()
@@ -174,7 +183,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
     rows = good.filter(draw).select("v").limit(2 * SAMPLE).toPandas()
     if not len(rows):
         rows = good.select("v").limit(SAMPLE).toPandas()
-    index = Index(np.stack(rows["v"]), n)
+    index = Index(scaled(np.stack(rows["v"])), n)
     shared = spark.sparkContext.broadcast(index)
     slice_of = F.pmod(F.xxhash64(F.lit("slice"), "vec_id"), F.col("slices")).cast("int")
 
@@ -188,21 +197,22 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
         for pdf in batches:
             if len(pdf):
                 p = shared.value.probes(units(pdf)[1])
-                yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), p.shape[1]), "v": np.repeat(pdf["v"].to_numpy(), p.shape[1]), "cell": p.ravel().astype("int32")})
+                yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), p.shape[1]), "q": np.repeat(pdf["q"].to_numpy(), p.shape[1]), "v": np.repeat(pdf["v"].to_numpy(), p.shape[1]), "cell": p.ravel().astype("int32")})
 
     listed = good.mapInPandas(encode, "vec_id long, v array<double>, cell int, codes binary")
     # at most MAX_CELLS rows, whatever the input
     sizes = good.mapInPandas(encode, "vec_id long, v array<double>, cell int, codes binary").groupBy("cell").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     sizes = F.broadcast(sizes)
     listed = listed.join(sizes, "cell").withColumn("slice", slice_of).drop("slices")
-    asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(probe, "vec_id long, v array<double>, cell int")
+    queries = good.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"]).select("vec_id", F.xxhash64("v").alias("q"), "v")
+    asked = queries.mapInPandas(probe, "vec_id long, q long, v array<double>, cell int")
     asked = asked.join(sizes, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
 
     def answer(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "float64")})
+            return NONE
         return nearest(shared.value, q, x, k)
 
     pairs = asked.groupBy("cell", "slice").cogroup(listed.groupBy("cell", "slice")).applyInPandas(answer, out)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,8 +11,8 @@ across documents and no two values merge:
   social security numbers   valid ddd-dd-dddd; walked on until valid again
   IPv4 addresses            the 32-bit number
   dates                     valid, 1920-01-01 to 2099-06-06 (65,536 days), in the written layout
-  access keys, tokens       AKIA + 16, and 16 letters and digits or more after token=, secret=, api_key=, password=,
-                            in blocks of 64
+  access keys, tokens       AKIA + 16, and 16 characters or more after token=, secret=, api_key=, password=: letters
+                            and digits move, in blocks of 64; of _+/=.~- each stays
 
 Cases: a null text stays null with 0 pseudonyms; an empty text stays empty; a document without values is
 returned byte for byte; rows and ids pass through as they are, repeated or null; extra columns are
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 EMAIL = r"(?<![\p{L}0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+"
 KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-TOKEN = r"(?<![\p{L}])(?i:token|secret|api_key|apikey|password) ?[=:] ?[\"']?[A-Za-z0-9]{16,}+"
+TOKEN = r"(?<![\p{L}])(?i:token|secret|api_key|apikey|password) ?[=:] ?[\"']?(?:(?=[A-Za-z_+/=.~-]*[0-9])[A-Za-z0-9][A-Za-z0-9_+/=.~-]{15,}+|[A-Za-z0-9]{16}[A-Za-z0-9_+/=.~-]*+)"
 PHONE = r"(?:(?<![0-9+])\+1[ .-]?|(?<![0-9+(]))\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}+|(?<![0-9.-])(?:\+?1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-][0-9]|[0-9])|(?<![0-9+])\+[0-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9-])"
@@ -179,11 +179,15 @@ def _token(x: Column, key: str) -> Column:
     return F.when(x.rlike("^[0-9a-f]+$"), of("hex")).otherwise(of("token"))
 
 
+#: The name of a secret with what stands before its value, and the value.
+HEAD = r"^([A-Za-z_]+ ?[=:] ?[\"']?)(.*)$"
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The replacement of one matched value (unchanged where it doesn't validate)."""
     local = F.substring_index(m, "@", 1)
-    head = F.regexp_extract(m, "^(.*?)([A-Za-z0-9]*)$", 1)
-    tail = F.regexp_extract(m, "^(.*?)([A-Za-z0-9]*)$", 2)
+    head = F.regexp_extract(m, HEAD, 1)
+    tail = F.regexp_extract(m, HEAD, 2)
     return (
         F.when(m.contains("@"), F.concat(permute(local, key, "mail"), F.substr(m, F.length(local) + 1, F.length(m))))
         .when(m.rlike("^AKIA[A-Z0-9]{16}$"), F.concat(F.lit("AKIA"), permute(F.substr(m, F.lit(5), F.lit(16)), key, "key")))
@@ -196,8 +200,9 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "sparkgrove", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, text, n_pseudonyms (values that changed) for every row; no shuffle."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, text, n_pseudonyms (values that changed) for every row; no shuffle. Whoever has the key can undo
+    the pseudonyms: keep it out of source and logs."""
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)).alias("m"))
     some = F.size("m") > 0
     new = F.when(some, F.transform("m", lambda m: pseudonym(m, key)))

@@ -272,6 +272,8 @@ class _Ids:
             flat, lengths[0] = np.concatenate((begun, flat)), lengths[0] + len(begun)
             cut = len(flat) - (int(lengths[-1]) if goes_on else 0)
             begun, flat, lengths = flat[cut:], flat[:cut], lengths[: len(lengths) - goes_on]
+            if not len(lengths):
+                continue
             out = np.full(len(flat) + len(lengths), end, np.uint32)
             out[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = flat
             yield out, lengths + 1
