@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from sparkgrove.session import materialise
 
 EDGES = "u long, v long"
+#: Nodes that a task remembers; beyond, it hands on what it has and starts anew.
+NODES = 300_000
 
 
 def contract(edges: DataFrame) -> DataFrame:
-    """Each task's edges as a forest (v, root): the same components from at most as many edges as nodes."""
+    """Each task's edges as forests (v, root) of bounded size: the same components from fewer edges."""
 
     def forest(batches):
         up: dict[int, int] = {}
@@ -25,13 +27,19 @@ def contract(edges: DataFrame) -> DataFrame:
                 up[x], x = root, up.get(x, x)
             return root
 
+        def rows() -> pd.DataFrame:
+            nodes = list(up)
+            return pd.DataFrame({"u": nodes, "v": [find(x) for x in nodes]}, dtype="int64")
+
         for pdf in batches:
             for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
                 a, b = find(u), find(v)
                 if a != b:
                     up[max(a, b)] = min(a, b)
-        nodes = list(up)
-        yield pd.DataFrame({"u": nodes, "v": [find(x) for x in nodes]}, dtype="int64")
+            if len(up) > NODES:
+                yield rows()
+                up.clear()
+        yield rows()
 
     return edges.select("u", "v").mapInPandas(forest, EDGES).filter("u <> v")
 

@@ -4,9 +4,10 @@ A signature has 64 symbols of 16 bits. It is split into m chunks; two signatures
 2m - 1 symbols have, by pigeonhole, a chunk that differs in at most one, so each chunk is indexed once
 per symbol left out. All pairs under that distance share a key. Texts with one shingle set are one class.
 Keys tie classes into coarse groups (a key's members to its least, never pairs with pairs); within a
-group, full sets are compared: a prefix filter on the group's rarest shingles finds what can still reach
-the similarity, and what already lies in one component is skipped. Large groups are compared in pairs of
-blocks, so no task holds more than two blocks.
+group a prefix filter on its rarest shingles finds what can still reach the similarity, what already lies
+in one component is skipped, pairs whose signatures differ in more than 2m - 1 symbols are dropped, and
+the rest is confirmed on full sets. Large groups are compared in pairs of blocks, so no task holds more
+than two blocks.
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing; fewer words than the
 shingle width are one shingle; ties have no order that matters; rows that repeat an id are one document;
@@ -91,8 +92,10 @@ def groups_of_rows(batches, keys: list[str]):
 def links_within(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
     """Links that join everything linked in a group: a spanning forest of its similarity graph.
 
-    across: only pairs of different sides count (both sides alone are other groups' work).
+    across: only pairs of different sides count (both sides alone are other groups' work). Candidates are
+    pairs within the Hamming distance that chunks_for(percent) guarantees the index to find.
     """
+    most = 2 * chunks_for(percent) - 1
     order = np.argsort([len(s) for s in sets], kind="stable")
     ids, sides, sets = ids[order], sides[order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
@@ -113,6 +116,12 @@ def links_within(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], per
     mine = np.argsort(p_owner, kind="stable")
     edge = np.searchsorted(p_owner[mine], np.arange(len(sets) + 1))
     root = np.arange(len(sets))
+    sigs, signed = np.zeros((len(sets), SYMBOLS), np.uint16), np.zeros(len(sets), bool)
+
+    def sign(some: np.ndarray) -> None:
+        for i in some[~signed[some]].tolist():
+            sigs[i], signed[i] = signature(sets[i]), True
+
     out = []
     for x in range(len(sets)):
         at = mine[edge[x] : edge[x + 1]]
@@ -123,6 +132,9 @@ def links_within(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], per
         cand = cand[(root[cand] != root[x]) & (100 * sizes[cand] >= percent * sizes[x]) & (ids[cand] != ids[x])]
         if across:
             cand = cand[sides[cand] != sides[x]]
+        if len(cand):
+            sign(np.append(cand, x))
+            cand = cand[(sigs[cand] != sigs[x]).sum(axis=1) <= most]
         while len(cand):
             y = cand[0]
             both = np.count_nonzero(_member(sets[y], sets[x]))
@@ -179,7 +191,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text_col: st
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = units.repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b")
-    linked = components(placed.mapInPandas(compare, "u long, v long"))
+    # written before components() runs Python of its own: one Python worker a task, not two
+    linked = components(materialise(placed.mapInPandas(compare, "u long, v long"), "pairs"))
     named = classes.join(linked, classes["rep"] == linked["node"], "left").select("print", F.coalesce("comp", "rep").alias("component"))
     left = sigs.select("doc_id", "n", F.col("print").alias("p"))
     out = left.join(named, (left["p"] == named["print"]) & left["doc_id"].isNotNull(), "left")

@@ -51,6 +51,16 @@ SQL: dict[str, str] = {
     "op6_exact_dedup": r"""with t as (select doc_id, length(coalesce(text, '')) len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents)
 select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by norm) group_size, row_number() over w = 1 kept, sha256(norm) text_sha256
 from t window w as (partition by norm order by len desc, doc_id rows between unbounded preceding and unbounded following)""",
+    "op10_near_dedup": r"""with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as materialized (select distinct doc_id, unnest(case when len(ws) between 1 and 2 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) g from w),
+n as materialized (select doc_id, count(*) n from s group by doc_id),
+p as materialized (select a.doc_id u, b.doc_id v, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as materialized (select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 85 * (x.n + y.n - c)),
+links as materialized (select u, v from e union select v, u from e),
+reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u),
+least_of as (select u, min(v) m from reach group by u)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) kept
+from documents d left join n on n.doc_id = d.doc_id left join least_of on u = d.doc_id""",
     "op8_mixing": r"""with base as materialized (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
   (('0x' || md5(doc_id::varchar || ':17')[1:12])::bigint::double + 0.5::double) / 281474976710656::double u from documents),
 per as (select source, sum(size)::bigint source_size, 3 * sum(size)::bigint cap, (row_number() over (order by source nulls last) - 1) % 3 + 1 w from base group by source),
