@@ -59,15 +59,19 @@ def centre(lo, hi) -> Column:
     return F.zip_with(_c(lo), _c(hi), lambda x, y: (x + y) / 2.0)
 
 
+def sphere_gap(lo1, hi1, lo2, hi2) -> Column:
+    """Between the spheres around both boxes, each with its box's diagonal as diameter; negative if they meet."""
+    return distance(centre(lo1, hi1), centre(lo2, hi2)) - diagonal(lo1, hi1) / 2.0 - diagonal(lo2, hi2) / 2.0
+
+
 def well_separated(lo1, hi1, lo2, hi2, s: float = 2.0) -> Column:
     """The gap between the spheres around both boxes is at least s times the larger radius."""
-    r = F.greatest(diagonal(lo1, hi1), diagonal(lo2, hi2)) / 2.0
-    return distance(centre(lo1, hi1), centre(lo2, hi2)) - 2.0 * r >= s * r
+    return sphere_gap(lo1, hi1, lo2, hi2) >= s * (F.greatest(diagonal(lo1, hi1), diagonal(lo2, hi2)) / 2.0)
 
 
 def unreachable(lo1, hi1, cd_min1, cd_max1, lo2, hi2, cd_min2, cd_max2) -> Column:
-    """Well separated, or separated in mutual reachability: every cross edge is at least as heavy as
-    any inner edge."""
-    gap = F.greatest(min_distance(lo1, hi1, lo2, hi2), _c(cd_min1), _c(cd_min2))
+    """Well separated, or separated in mutual reachability: the sphere gap or a least core distance is at least
+    as large as both diagonals and both largest core distances."""
+    gap = F.greatest(sphere_gap(lo1, hi1, lo2, hi2), _c(cd_min1), _c(cd_min2))
     inner = F.greatest(diagonal(lo1, hi1), diagonal(lo2, hi2), _c(cd_max1), _c(cd_max2))
     return well_separated(lo1, hi1, lo2, hi2) | (gap >= inner)

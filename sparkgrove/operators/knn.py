@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from sparkgrove.functions.vector import unrolled_distance
 from sparkgrove.operators.blocks import assign_blocks, block_table, box_gaps, fit_splits
+from sparkgrove.session import materialise
 from sparkgrove.sources.points import validate
 
-SMALL_N = 2000
 BLOCK_SIZE = 2048
 CHUNK = 512
 
@@ -46,7 +46,7 @@ def nearest(a: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np
 
 
 def knn_bruteforce(points: DataFrame, k: int, dims: int) -> DataFrame:
-    """Nested loop form for up to SMALL_N points: cross join and a per-query top k (WindowGroupLimit)."""
+    """Nested loop form, quadratic: the check of the others. Cross join and a per-query top k (WindowGroupLimit)."""
     pairs = points.alias("a").crossJoin(points.alias("b")).select(F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), unrolled_distance("a", "b", dims).alias("dist"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "nbr"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
@@ -58,7 +58,7 @@ def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = B
     Shuffles: points by block once per phase; probes carry one row per (query, reachable block).
     """
     splits = fit_splits(points, n, max(block_size, 2 * k))
-    blocked = assign_blocks(points, splits)
+    blocked = materialise(assign_blocks(points, splits), "blocked")  # read three times
     table = block_table(blocked, dims)
     lo, hi, sizes = np.stack(table["lo"]), np.stack(table["hi"]), table["n"].to_numpy()
     numbers = table["block"].to_numpy()
@@ -95,12 +95,12 @@ def knn(points: DataFrame, k: int, max_dim: int = 20, block_size: int = BLOCK_SI
     points, n, d = validate(points, max_dim)
     if not 1 <= k <= n:
         raise ValueError(f"k is {k}, with {n} points")
-    return knn_bruteforce(points, k, d) if n <= SMALL_N else knn_blocks(points, n, k, d, block_size)
+    return knn_blocks(points, n, k, d, block_size)
 
 
-def core_distance(points: DataFrame, min_pts: int, max_dim: int = 20) -> DataFrame:
+def core_distance(points: DataFrame, min_pts: int, max_dim: int = 20, block_size: int = BLOCK_SIZE) -> DataFrame:
     """id, cd: distance to the min_pts-th neighbour, the point itself counted."""
     if min_pts == 1:
         points, n, _ = validate(points, max_dim)
         return points.select("id", F.lit(0.0).alias("cd"))
-    return knn(points, min_pts, max_dim).filter(F.col("rank") == min_pts).select("id", F.col("dist").alias("cd"))
+    return knn(points, min_pts, max_dim, block_size).filter(F.col("rank") == min_pts).select("id", F.col("dist").alias("cd"))

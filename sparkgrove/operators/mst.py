@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkgrove.functions.vector import unrolled_distance
 from sparkgrove.operators.blocks import assign_blocks, block_table, box_gaps, fit_splits
-from sparkgrove.operators.knn import SMALL_N, distances
+from sparkgrove.operators.knn import distances
 from sparkgrove.session import materialise
 
 EDGES = "u long, v long, weight double"
@@ -66,7 +66,7 @@ def extend_forest(forest: DataFrame, edges: DataFrame, buckets: int = 1) -> Data
 
 
 def mutual_reach_edges(points_cd: DataFrame, dims: int) -> DataFrame:
-    """All edges u < v weighted max(distance, cd_u, cd_v): quadratic, for up to SMALL_N points."""
+    """All edges u < v weighted max(distance, cd_u, cd_v): quadratic."""
     a, b = points_cd.alias("a"), points_cd.alias("b")
     w = F.greatest(unrolled_distance("a", "b", dims), F.col("a.cd"), F.col("b.cd"))
     return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), w.alias("weight"))
@@ -165,6 +165,9 @@ def _block_components(forest: DataFrame, blocked: DataFrame, t: pd.DataFrame) ->
 
 def mst(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_BLOCK) -> DataFrame:
     """u < v, weight: the n - 1 edges of the mutual reachability tree of points(id, c, cd)."""
-    if n <= SMALL_N // 2:
-        return kruskal(mutual_reach_edges(points_cd, dims))
     return mst_blocks(points_cd, n, dims, block_size)
+
+
+def tree_summary(edges: DataFrame) -> DataFrame:
+    """edges, weight (their sum), heaviest: one row."""
+    return edges.agg(F.count("*").alias("edges"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"), F.max("weight").alias("heaviest"))

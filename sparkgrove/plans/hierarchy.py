@@ -8,13 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from sparkgrove.operators.dendrogram import dendrogram
-from sparkgrove.operators.knn import core_distance
-from sparkgrove.operators.mst import mst
+from sparkgrove.operators.knn import BLOCK_SIZE, core_distance
+from sparkgrove.operators.mst import PAIR_BLOCK, mst
 from sparkgrove.session import materialise
 from sparkgrove.sources.points import validate
 
 
-def density_tree(points: DataFrame, min_pts: int, max_dim: int = 20, timings: dict | None = None) -> DataFrame:
+def density_tree(points: DataFrame, min_pts: int, max_dim: int = 20, timings: dict | None = None, block_size: int | None = None) -> DataFrame:
     """u < v, weight: the spanning tree under mutual reachability. min_pts = 1 gives the Euclidean tree."""
     began = time.perf_counter()
     points, n, d = validate(points, max_dim)
@@ -22,11 +22,11 @@ def density_tree(points: DataFrame, min_pts: int, max_dim: int = 20, timings: di
         raise ValueError("at least 2 points are needed")
     if not 1 <= min_pts <= n:
         raise ValueError(f"min_pts is {min_pts}, with {n} points")
-    cd = core_distance(points, min_pts, max_dim)
+    cd = core_distance(points, min_pts, max_dim, block_size or BLOCK_SIZE)
     points_cd = materialise(points.join(cd, "id"), "core")
     if timings is not None:
         timings["core-dist"] = time.perf_counter() - began
-    tree = mst(points_cd, n, d)
+    tree = mst(points_cd, n, d, block_size or PAIR_BLOCK)
     if timings is not None:
         timings["tree"] = time.perf_counter() - began - timings["core-dist"]
     return tree

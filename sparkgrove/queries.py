@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 
 from sparkgrove.functions import boxes as B
 from sparkgrove.functions import vector as V
+from sparkgrove.operators.aggregates import prefix_sum
 from sparkgrove.operators.blocks import bounding_box
-from sparkgrove.operators.joins import block_pairs, closest_pair, closest_pairs_by_group, range_join
+from sparkgrove.operators.joins import closest_pair, closest_pairs_by_group, range_join
 from sparkgrove.operators.knn import core_distance, knn
-from sparkgrove.operators.mst import kruskal, mutual_reach_edges
-from sparkgrove.plans.hierarchy import dendrogram_of, density_tree, euclidean_tree
-from sparkgrove.sources.sinks import edge_lines, point_lines
+from sparkgrove.operators.mst import extend_forest, kruskal, mutual_reach_edges, tree_summary
+from sparkgrove.plans.hierarchy import dendrogram_of, density_tree, euclidean_tree, to_linkage
+from sparkgrove.session import materialise, shared_dir
+from sparkgrove.sources.points import from_numpy, read_int_sequence, read_points, read_tokens, synthetic_blobs
+from sparkgrove.sources.sinks import edge_lines, point_lines, write_int_sequence, write_points, write_points_with_header, write_two_sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,11 +145,27 @@ def box_stats(spark: SparkSession, d: str) -> DataFrame:
     return b.select("block", "n", B.diagonal("lo", "hi").alias("diagonal"), B.longest_side("lo", "hi").alias("longest"), B.widest_dimension("lo", "hi").alias("widest"))
 
 
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """Points of customers with two blocks each: their nation's, and a stretch of balances in it that is
+    narrower in some nations than in others."""
+    p = keyed(spark, d, "customer", "c_custkey", ["c_nationkey", "c_acctbal"])
+    nation, balance = F.col("c")[0], F.col("c")[1]
+    fine = 100 + nation * 20 + F.floor((balance + 1000.0) / F.when(nation < 12, 2000.0).otherwise(1000.0))
+    return p.withColumn("block", F.explode(F.array(nation.cast("long"), fine.cast("long"))))
+
+
 def box_pairs(spark: SparkSession, d: str) -> DataFrame:
-    b = label_boxes(vectors(spark, d, 4), 4)
+    b = bounding_box(customers(spark, d), ["block"], 2)
     p = b.alias("a").join(b.alias("b"), F.col("a.block") < F.col("b.block"))
     args = ("a.lo", "a.hi", "b.lo", "b.hi")
-    return p.select(F.col("a.block").alias("block_a"), F.col("b.block").alias("block_b"), B.min_distance(*args).alias("min_dist"), B.far_distance(*args).alias("far_dist"), B.relation(*args).alias("relation"), B.well_separated(*args).alias("separated"))
+    return p.select(F.col("a.block").alias("block_a"), F.col("b.block").alias("block_b"), B.min_distance(*args).alias("min_dist"), B.far_distance(*args).alias("far_dist"), B.relation(*args).alias("relation"))
+
+
+def well_separated(spark: SparkSession, d: str) -> DataFrame:
+    b = bounding_box(customers(spark, d), ["block"], 2)
+    p = b.alias("a").join(b.alias("b"), F.col("a.block") < F.col("b.block"))
+    args = ("a.lo", "a.hi", "b.lo", "b.hi")
+    return p.select(F.col("a.block").alias("block_a"), F.col("b.block").alias("block_b"), B.sphere_gap(*args).alias("gap"), B.well_separated(*args).alias("separated"))
 
 
 def point_in_box(spark: SparkSession, d: str) -> DataFrame:
@@ -155,9 +175,88 @@ def point_in_box(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unreachable_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = with_core(vectors(spark, d, 3), 5)
-    stats = p.groupBy(F.col("label").alias("block")).agg(F.array(*[F.min(F.col("c")[i]) for i in range(3)]).alias("lo"), F.array(*[F.max(F.col("c")[i]) for i in range(3)]).alias("hi"), F.min("cd").alias("m"), F.max("cd").alias("x"))
-    return block_pairs(stats, lambda a, b: ~B.unreachable(*[f"{a}.{k}" for k in ("lo", "hi", "m", "x")], *[f"{b}.{k}" for k in ("lo", "hi", "m", "x")]))
+    core = core_distance(keyed(spark, d, "customer", "c_custkey", ["c_nationkey", "c_acctbal"]), 5)
+    p = customers(spark, d).join(core, "id")
+    stats = p.groupBy("block").agg(*[F.array(*[f(F.col("c")[i]) for i in range(2)]).alias(k) for k, f in (("lo", F.min), ("hi", F.max))], F.min("cd").alias("m"), F.max("cd").alias("x"))
+    far = B.unreachable(*[f"{t}.{k}" for t in ("a", "b") for k in ("lo", "hi", "m", "x")])
+    pairs = stats.alias("a").join(stats.alias("b"), F.col("a.block") < F.col("b.block"))
+    return pairs.select(F.col("a.block").alias("block_u"), F.col("b.block").alias("block_v"), far.alias("unreachable"))
+
+
+# text forms, written and read back ---------------------------------------------------------------
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(spark, d, "supplier", "s_suppkey", ["s_nationkey", "s_acctbal"])
+
+
+def text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    write_points(suppliers(spark, d), path := _file(spark, "points"))
+    return read_points(spark, path).select("id", F.col("c")[0].alias("x0"), F.col("c")[1].alias("x1"))
+
+
+def header_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    write_points_with_header(suppliers(spark, d), path := _file(spark, "headed"), 2)
+    return read_points(spark, path).select("id", F.col("c")[0].alias("x0"), F.col("c")[1].alias("x1"))
+
+
+def flat_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of numbers from lines of other lengths; an incomplete tail falls away."""
+    t = table(spark, d, "supplier").select("s_suppkey", F.concat_ws(" ", F.col("s_nationkey"), F.col("s_suppkey"), F.when(F.col("s_suppkey") > 0, F.col("s_nationkey"))).alias("value"))
+    both = t.select(F.lit(1).alias("k"), "s_suppkey", "value").unionByName(spark.createDataFrame([(0, 0, "7 8")], "k int, s_suppkey long, value string"))
+    both.orderBy("k", "s_suppkey").select("value").coalesce(1).write.text(path := _file(spark, "flat"))
+    return read_points(spark, path, mode="flat").select("id", F.col("c")[0].alias("x0"), F.col("c")[1].alias("x1"))
+
+
+def int_sequence(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_nationkey").alias("value"))
+    write_int_sequence(rows, path := _file(spark, "numbers"))
+    return read_int_sequence(spark, path)
+
+
+def token_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Two sequences in one file, read as tokens."""
+    t = table(spark, d, "nation").select(F.col("n_nationkey").alias("o"), F.col("n_regionkey").alias("v"))
+    write_two_sequences(t, t.select("o", (F.col("v") + 10).alias("v")), path := _file(spark, "tokens"), "v", "o")
+    return read_tokens(spark, path)
+
+
+def numpy_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").orderBy("s_suppkey").select("s_nationkey", "s_acctbal").toPandas()
+    return from_numpy(spark, rows.to_numpy()).select("id", F.col("c")[0].alias("x0"), F.col("c")[1].alias("x1"))
+
+
+def blob_centres(spark: SparkSession, d: str) -> DataFrame:
+    """The centre nearest to each point of tight blobs."""
+    centres = [[0.0, 0.0], [10.0, 0.0], [0.0, 10.0]]
+    n = table(spark, d, "part").count()
+    far = F.array(*[V.distance("c", F.array(*[F.lit(x) for x in c])) for c in centres])
+    return synthetic_blobs(spark, n, centres, 0.1, seed=3).select("id", (F.array_position(far, F.array_min(far)) - 1).cast("int").alias("centre"))
+
+
+def linkage_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = to_linkage(dendrogram_of(suppliers(spark, d), 5))
+    return spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(m)], "row long, left double, right double, height double, size double")
+
+
+def supplier_edges(spark: SparkSession, d: str) -> DataFrame:
+    return mutual_reach_edges(with_core(suppliers(spark, d), 5), 2)
+
+
+def batched_kruskal(spark: SparkSession, d: str) -> DataFrame:
+    """The forest grown by three batches of edges."""
+    e = materialise(supplier_edges(spark, d), "edges")
+    part = lambda k: e.filter(F.pmod(F.col("u") + F.col("v"), F.lit(3)) == k)
+    return extend_forest(extend_forest(kruskal(part(0), 2), part(1), 2), part(2), 2)
+
+
+def cluster_sizes_before(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return prefix_sum(t, "n", ["c_nationkey"])
 
 
 QUERIES: dict[str, Query] = {
@@ -166,6 +265,23 @@ QUERIES: dict[str, Query] = {
     "bounding_box_by_label": lambda s, d: label_boxes(vectors(s, d, 4), 4).select("block", "n", *[F.col(k)[i].alias(f"{k}{i}") for k in ("lo", "hi") for i in range(4)]),
     "box_stats": box_stats,
     "box_pairs": box_pairs,
+    "well_separated": well_separated,
+    "text_roundtrip": text_roundtrip,
+    "header_roundtrip": header_roundtrip,
+    "flat_scan": flat_scan,
+    "int_sequence": int_sequence,
+    "token_scan": token_scan,
+    "numpy_source": numpy_source,
+    "blob_centres": blob_centres,
+    "linkage_rows": linkage_rows,
+    "batched_kruskal": batched_kruskal,
+    "prefix_sum": cluster_sizes_before,
+    "knn_unordered": lambda s, d: knn(vectors(s, d, 3), 5, block_size=64).select("id", "nbr"),
+    "knn_blocks": lambda s, d: knn(vectors(s, d, 3), 5, block_size=64),
+    "knn_d64": lambda s, d: knn(vectors(s, d, 64), 3, max_dim=64),
+    "density_tree_blocks": lambda s, d: density_tree(vectors(s, d, 3).select("id", "c"), 5, block_size=64),
+    "tree_summary": lambda s, d: tree_summary(density_tree(suppliers(s, d), 5)).select("edges", F.round("weight", 6).alias("weight"), "heaviest"),
+    "edge_text_plain": lambda s, d: edge_lines(euclidean_tree(suppliers(s, d)), weighted=False),
     "point_in_box": point_in_box,
     "range_join": lambda s, d: range_join(vectors(s, d, 3), vectors(s, d, 3), 0.1, 3),
     "knn_k5": lambda s, d: knn(vectors(s, d, 3), 5),
@@ -176,8 +292,8 @@ QUERIES: dict[str, Query] = {
     "unreachable_pairs": unreachable_pairs,
     "closest_pair_euclid": lambda s, d: closest_pair(vectors(s, d, 3).filter("label = 0"), vectors(s, d, 3).filter("label = 1"), 3),
     "closest_pairs_mutual": lambda s, d: closest_pairs_by_group(with_core(vectors(s, d, 3), 5), "label", 3, mutual=True),
-    "mutual_reach_edges": lambda s, d: mutual_reach_edges(with_core(keyed(s, d, "supplier", "s_suppkey", ["s_nationkey", "s_acctbal"]), 5), 2),
-    "kruskal_edges": lambda s, d: kruskal(range_join(vectors(s, d, 3), vectors(s, d, 3), 0.5, 3).select(F.col("id").alias("u"), F.col("nbr").alias("v"), F.col("dist").alias("weight")), 4),
+    "mutual_reach_edges": supplier_edges,
+    "kruskal_edges": lambda s, d: kruskal(supplier_edges(s, d), 4),
     "euclidean_tree": lambda s, d: euclidean_tree(vectors(s, d, 2).select("id", "c")),
     "density_tree": lambda s, d: density_tree(vectors(s, d, 3).select("id", "c"), 5),
     "density_tree_d8": lambda s, d: density_tree(vectors(s, d, 8).select("id", "c"), 5),
@@ -192,11 +308,13 @@ QUERIES: dict[str, Query] = {
     "perturb": lambda s, d: vectors(s, d, 3).select("id", F.explode(V.perturb("c", "id")).alias("x")),
 }
 
-_B = _box_sql(4)
-_B3 = _box_sql(3)
+_B, _B2 = _box_sql(4), _box_sql(2)
+_SPHERES = f"({_B2['centres']} - {_B2['diag_a']}/2.0 - {_B2['diag_b']}/2.0)"
 _SUPPLIER = sql_keyed("supplier", "s_suppkey", ["s_nationkey", "s_acctbal"])
 _PART = sql_keyed("part", "p_partkey", ["p_size", "p_retailprice"])
 _CUSTOMER = sql_keyed("customer", "c_custkey", ["c_nationkey", "c_acctbal"])
+_CUSTOMER_BLOCKS = f"select id, c, unnest([c[1]::bigint, (100 + c[1]*20 + floor((c[2]+1000.0)/case when c[1] < 12 then 2000.0 else 1000.0 end))::bigint]) block from ({_CUSTOMER})"
+_CUSTOMER_BOXES = f"q as ({_CUSTOMER_BLOCKS}), bx as (select block, [min(c[1]), min(c[2])] lo, [max(c[1]), max(c[2])] hi from q group by block)"
 _SIDES = "list_transform(list_zip(hi, lo), lambda x: x[1]-x[2])"
 _FLAT = ", ".join(f"{k}[{i + 1}] {k}{i}" for k in ("lo", "hi") for i in range(4))
 #: %.11e as Java and C print it, of a double, by printf.
@@ -207,9 +325,32 @@ SQL: dict[str, str] = {
     "bounding_box": f"with p as ({sql_vectors(4)}) select count(*) n, " + ", ".join(f"{f}(c[{i + 1}]) {k}{i}" for k, f in (("lo", "min"), ("hi", "max")) for i in range(4)) + " from p",
     "bounding_box_by_label": f"with {sql_boxes(4)} select block, n, {_FLAT} from bx",
     "box_stats": f"with {sql_boxes(4)}, a as (select *, {_SIDES} s from bx) select block, n, {_B['diag_a']} diagonal, list_max(s) longest, (list_position(s, list_max(s))-1)::int widest from a",
-    "box_pairs": f"""with {sql_boxes(4)} select a.block block_a, b.block block_b, {_B["min"]} min_dist, {_B["far"]} far_dist,
-case when {" or ".join(f"a.lo[{i}]>b.hi[{i}] or a.hi[{i}]<b.lo[{i}]" for i in range(1, 5))} then 'exclude' when {" and ".join(f"a.lo[{i}]<=b.lo[{i}] and a.hi[{i}]>=b.hi[{i}]" for i in range(1, 5))} then 'include' else 'overlap' end relation,
-{_B["centres"]} - 2.0*(greatest({_B["diag_a"]},{_B["diag_b"]})/2.0) >= 2.0*(greatest({_B["diag_a"]},{_B["diag_b"]})/2.0) separated from bx a join bx b on a.block < b.block""",
+    "box_pairs": f"""with {_CUSTOMER_BOXES} select a.block block_a, b.block block_b, {_B2["min"]} min_dist, {_B2["far"]} far_dist,
+case when {" or ".join(f"a.lo[{i}]>b.hi[{i}] or a.hi[{i}]<b.lo[{i}]" for i in (1, 2))} then 'exclude' when {" and ".join(f"a.lo[{i}]<=b.lo[{i}] and a.hi[{i}]>=b.hi[{i}]" for i in (1, 2))} then 'include' else 'overlap' end relation
+from bx a join bx b on a.block < b.block""",
+    "well_separated": f"""with {_CUSTOMER_BOXES} select a.block block_a, b.block block_b, {_SPHERES} gap,
+{_SPHERES} >= 2.0*(greatest({_B2["diag_a"]},{_B2["diag_b"]})/2.0) separated from bx a join bx b on a.block < b.block""",
+    "text_roundtrip": f"with p as ({_SUPPLIER}) select id, {_E11.format('c[1]')}::double x0, {_E11.format('c[2]')}::double x1 from p",
+    "header_roundtrip": f"with p as ({_SUPPLIER}) select id, {_E11.format('c[1]')}::double x0, {_E11.format('c[2]')}::double x1 from p",
+    "flat_scan": """with t as (select 0 k, 0 s, 0 j, 7::double x union all select 0, 0, 1, 8::double
+  union all select 1, s_suppkey, j, case j when 1 then s_suppkey else s_nationkey end::double from supplier, range(3) r(j) where j < 2 or s_suppkey > 0),
+n as (select x, row_number() over (order by k, s, j) - 1 i from t)
+select a.i // 2 id, a.x x0, b.x x1 from n a join n b on b.i = a.i + 1 where a.i % 2 = 0""",
+    "int_sequence": "select row_number() over (order by c_custkey) - 1 pos, c_nationkey::bigint as value from customer",
+    "token_scan": "with t as (select 0 s, n_nationkey o, n_regionkey v from nation union all select 1, n_nationkey, n_regionkey + 10 from nation) select row_number() over (order by s, o) - 1 pos, v::varchar as token from t",
+    "numpy_source": f"with p as ({_SUPPLIER}) select row_number() over (order by id) - 1 id, c[1] x0, c[2] x1 from p",
+    "blob_centres": "select range id, (range % 3)::int centre from range((select count(*) from part))",
+    "linkage_rows": f'select merge_idx "row", "left"::double "left", "right"::double "right", height, size::double size from ({sql_dendrogram(_SUPPLIER, 2, 5)})',
+    "batched_kruskal": sql_tree_rows(_SUPPLIER, 2, 5),
+    "kruskal_edges": sql_tree_rows(_SUPPLIER, 2, 5),
+    "prefix_sum": "with t as (select c_nationkey, count(*) n from customer group by 1) select c_nationkey, n, coalesce(sum(n) over (order by c_nationkey rows between unbounded preceding and 1 preceding), 0)::bigint before from t",
+    "knn_blocks": f'with {sql_knn(sql_vectors(3), 3, 5)} select id, "rank", nbr, dist from knn',
+    "knn_unordered": f"with {sql_knn(sql_vectors(3), 3, 5)} select id, nbr from knn",
+    "knn_d64": f'with {sql_knn(sql_vectors(64), 64, 3)} select id, "rank", nbr, dist from knn',
+    "density_tree_blocks": sql_tree_rows(sql_vectors(3), 3, 5),
+    "tree_summary": f"with recursive {sql_tree(_SUPPLIER, 2, 5)} select count(*) edges, round(sum(bw), 6) weight, max(bw) heaviest from prim where id <> 0",
+    "edge_text_plain": f"with recursive {sql_tree(_SUPPLIER, 2, 1)} select bu u, bv v, bu || ' ' || bv as value from prim where id <> 0",
+    "perturb": f"with p as ({sql_vectors(3)}) select id, unnest(list_transform(c, lambda x: x * (1.0::double + 0.0001::double * (('0x' || md5(id::varchar)[1:12])::bigint::double / 281474976710656::double * 2.0::double - 1.0::double)))) x from p",
     "point_in_box": f"with {sql_boxes(4)} select b.block, count(*) inside from p, bx b where {' and '.join(f'p.c[{i}] between b.lo[{i}] and b.hi[{i}]' for i in range(1, 5))} group by b.block",
     "range_join": f"with p as ({sql_vectors(3)}) select * from (select a.id, b.id nbr, {sql_dist('a', 'b', 3)} dist from p a, p b) where dist <= 0.1::double",
     "knn_k5": f'with {sql_knn(sql_vectors(3), 3, 5)} select id, "rank", nbr, dist from knn',
@@ -217,8 +358,9 @@ case when {" or ".join(f"a.lo[{i}]>b.hi[{i}] or a.hi[{i}]<b.lo[{i}]" for i in ra
     "core_distance_d8": f"with {sql_knn(sql_vectors(8), 8, 5)} select * from core",
     "core_distance_d20": f"with {sql_knn(sql_vectors(20), 20, 10)} select * from core",
     "core_minmax_by_label": f"with {sql_knn(sql_vectors(3), 3, 5)} select label, min(cd) cd_min, max(cd) cd_max from core join p using (id) group by label",
-    "unreachable_pairs": f"""with {sql_knn(sql_vectors(3), 3, 5)}, bx as (select label block, [{", ".join(f"min(c[{i}])" for i in (1, 2, 3))}] lo, [{", ".join(f"max(c[{i}])" for i in (1, 2, 3))}] hi, min(cd) m, max(cd) x from p join core using (id) group by label)
-select a.block block_u, b.block block_v from bx a join bx b on a.block < b.block where not ({_B3["centres"]} - 2.0*(greatest({_B3["diag_a"]},{_B3["diag_b"]})/2.0) >= 2.0*(greatest({_B3["diag_a"]},{_B3["diag_b"]})/2.0) or greatest({_B3["min"]}, a.m, b.m) >= greatest({_B3["diag_a"]}, {_B3["diag_b"]}, a.x, b.x))""",
+    "unreachable_pairs": f"""with {sql_knn(_CUSTOMER, 2, 5)}, q as ({_CUSTOMER_BLOCKS}), bx as (select block, [min(c[1]), min(c[2])] lo, [max(c[1]), max(c[2])] hi, min(cd) m, max(cd) x from q join core using (id) group by block)
+select a.block block_u, b.block block_v, {_SPHERES} >= 2.0*(greatest({_B2["diag_a"]},{_B2["diag_b"]})/2.0) or greatest({_SPHERES}, a.m, b.m) >= greatest({_B2["diag_a"]}, {_B2["diag_b"]}, a.x, b.x) as unreachable
+from bx a join bx b on a.block < b.block""",
     "closest_pair_euclid": f"with p as ({sql_vectors(3)}) select least(a.id,b.id) u, greatest(a.id,b.id) v, {sql_dist('a', 'b', 3)} weight from p a, p b where a.label = 0 and b.label = 1 order by 3, 1, 2 limit 1",
     "closest_pairs_mutual": f"""with {sql_knn(sql_vectors(3), 3, 5)}, q as (select p.*, cd from p join core using (id)) select ga group_a, gb group_b, u, v, w weight from (select ga, gb, u, v, w, row_number() over (partition by ga, gb order by w, u, v) r from
 (select a.label ga, b.label gb, least(a.id,b.id) u, greatest(a.id,b.id) v, greatest({sql_dist("a", "b", 3)}, a.cd, b.cd) w from q a, q b where a.label < b.label)) where r = 1""",
