@@ -15,6 +15,7 @@ from sparkgrove.operators.blocks import bounding_box
 from sparkgrove.operators.joins import closest_pair, closest_pairs_by_group, range_join
 from sparkgrove.operators.knn import core_distance, knn
 from sparkgrove.operators.mst import extend_forest, kruskal, mutual_reach_edges, tree_summary
+from sparkgrove.operators.wspd import box_tree, wspd
 from sparkgrove.plans.hierarchy import dendrogram_of, density_tree, euclidean_tree, to_linkage
 from sparkgrove.session import materialise, shared_dir
 from sparkgrove.sources.points import from_numpy, read_int_sequence, read_points, read_tokens, synthetic_blobs
@@ -259,7 +260,18 @@ def cluster_sizes_before(spark: SparkSession, d: str) -> DataFrame:
     return prefix_sum(t, "n", ["c_nationkey"])
 
 
+def wspd_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of points that the decomposition covers, and those within leaves: all there are."""
+    p = vectors(spark, d, 3).select("id", "c")
+    tree = box_tree(p, p.count(), 3, 16)
+    across = wspd(tree).agg(F.coalesce(F.sum(F.col("n_u") * F.col("n_v")), F.lit(0)).alias("across"))
+    within = tree.filter("a is null").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("within"))
+    return across.crossJoin(within).select((F.col("across") + F.col("within")).alias("pairs"))  # one row each
+
+
 QUERIES: dict[str, Query] = {
+    "wspd_cover": wspd_cover,
+    "closest_pair_mutual": lambda s, d: closest_pair(*[with_core(vectors(s, d, 3), 5).filter(F.col("label") == k) for k in (0, 1)], 3, mutual=True, block_size=16),
     "vector_functions": vector_functions,
     "bounding_box": lambda s, d: bounding_box(vectors(s, d, 4), None, 4).select("n", *[F.col(k)[i].alias(f"{k}{i}") for k in ("lo", "hi") for i in range(4)]),
     "bounding_box_by_label": lambda s, d: label_boxes(vectors(s, d, 4), 4).select("block", "n", *[F.col(k)[i].alias(f"{k}{i}") for k in ("lo", "hi") for i in range(4)]),
@@ -325,6 +337,8 @@ SQL: dict[str, str] = {
     "bounding_box": f"with p as ({sql_vectors(4)}) select count(*) n, " + ", ".join(f"{f}(c[{i + 1}]) {k}{i}" for k, f in (("lo", "min"), ("hi", "max")) for i in range(4)) + " from p",
     "bounding_box_by_label": f"with {sql_boxes(4)} select block, n, {_FLAT} from bx",
     "box_stats": f"with {sql_boxes(4)}, a as (select *, {_SIDES} s from bx) select block, n, {_B['diag_a']} diagonal, list_max(s) longest, (list_position(s, list_max(s))-1)::int widest from a",
+    "wspd_cover": "select (count(*) * (count(*) - 1)) // 2 pairs from embeddings",
+    "closest_pair_mutual": f"with {sql_knn(sql_vectors(3), 3, 5)}, q as (select p.*, cd from p join core using (id)) select least(a.id,b.id) u, greatest(a.id,b.id) v, greatest({sql_dist('a', 'b', 3)}, a.cd, b.cd) weight from q a, q b where a.label = 0 and b.label = 1 order by 3, 1, 2 limit 1",
     "box_pairs": f"""with {_CUSTOMER_BOXES} select a.block block_a, b.block block_b, {_B2["min"]} min_dist, {_B2["far"]} far_dist,
 case when {" or ".join(f"a.lo[{i}]>b.hi[{i}] or a.hi[{i}]<b.lo[{i}]" for i in (1, 2))} then 'exclude' when {" and ".join(f"a.lo[{i}]<=b.lo[{i}] and a.hi[{i}]>=b.hi[{i}]" for i in (1, 2))} then 'include' else 'overlap' end relation
 from bx a join bx b on a.block < b.block""",

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from sparkgrove.functions import boxes as B
 from sparkgrove.operators.aggregates import prefix_sum
 from sparkgrove.operators.dendrogram import dendrogram
-from sparkgrove.operators.joins import range_join
+from sparkgrove.operators.joins import closest_pair, range_join
 from sparkgrove.operators.knn import core_distance, distances, knn_blocks
 from sparkgrove.operators.mst import kruskal, mst_blocks
+from sparkgrove.operators.wspd import box_tree, wspd
 from sparkgrove.plans.hierarchy import dendrogram_of, density_tree, to_linkage
 from sparkgrove.sources import points as P
 from sparkgrove.sources import sinks as K
@@ -101,6 +102,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert sorted([int(a), int(b), float(h), int(n)] for a, b, h, n in rows) == [[0, 1, 0, 2], [3, 4, 1, 2], [5, 2, 5, 3], [7, 6, 5, 5]]
 
 
+def test_pairs_cover_all_points_once(spark):
+    x = np.concatenate([np.random.default_rng(2).normal(size=(60, 2)), np.zeros((3, 2)), [[50.0, 50.0]]])
+    tree = box_tree(P.from_numpy(spark, x), len(x), 2, 1)
+    pairs, nodes = wspd(tree).collect(), {r.node: r for r in tree.collect()}
+
+    def leaves(k):
+        return leaves(nodes[k].a) | (leaves(nodes[k].b) if nodes[k].b != nodes[k].a else set()) if nodes[k].a is not None else {k}
+
+    seen = [tuple(sorted((a, b))) for r in pairs for a in leaves(r.u) for b in leaves(r.v)]
+    count = sum(r.a is None for r in nodes.values())
+    assert len(seen) == len(set(seen)) == count * (count - 1) // 2
+    assert 0 < sum(r.separated for r in pairs) and len(pairs) < len(seen)
+
+
+def test_closest_pair_prunes(spark):
+    rng = np.random.default_rng(6)
+    a, b = (P.from_numpy(spark, rng.normal(size=(300, 2)) + k) for k in (0, 4))
+    x, y = (np.array([r.c for r in t.orderBy("id").collect()]) for t in (a, b))
+    d = distances(x, y)
+    i, j = np.unravel_index(d.argmin(), d.shape)
+    got = closest_pair(a, b.select((F.col("id") + 1000).alias("id"), "c"), 2, block_size=8).first()
+    assert (got.u, got.v, got.weight) == (i, j + 1000, d.min())
+
+
 def test_prefix_sum(spark):
     v = np.random.default_rng(1).integers(0, 9, 200)
     d = spark.createDataFrame([(int(k), int(x)) for k, x in enumerate(v)], "k long, x long").repartition(5)
