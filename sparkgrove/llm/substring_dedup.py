@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrove.llm.shingles import mix
+from sparkgrove.session import materialise
 
 LENGTH = 50
 GRAM = 20
@@ -41,6 +42,8 @@ SPAN = LENGTH - GRAM + 1  # grams in a string
 #: Bytes of text named at once, and buckets per shuffle partition.
 SLICE = 1 << 20
 FAN = 4
+#: Texts that at least this share of all rows hold whole are joined by broadcast: there are at most 1 / HOT.
+HOT = 0.001
 _NO_ID = np.iinfo(np.int64).max
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -395,8 +398,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     base = base.select("doc_id", "text", order.alias("doc"), F.xxhash64("doc_id", "text").alias("key"))
     held = base.repartition(parts, "doc", "key")  # each use reads all its columns, or it would be written once more
     same = base.select("doc", "key", F.sha2("text", 256).alias("sha"))
-    firsts = same.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    copies = same.join(firsts, "sha").filter("doc > least").select("doc", "key").distinct().withColumn("copied", F.lit(True))
+    firsts = same.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).filter("least < most")
+    firsts = materialise(firsts, "firsts")
+    large = F.col("n") >= max(2, HOT * docs.count())
+    hot = F.broadcast(firsts.filter(large))  # at most 1 / HOT rows
+    rest = same.join(hot.select("sha"), "sha", "left_anti").join(firsts.filter(~large), "sha")
+    copies = same.join(hot, "sha").unionByName(rest).filter("doc > least").select("doc", "key").distinct()
+    copies = materialise(copies.withColumn("copied", F.lit(True)), "copies")
     known = held.join(copies, ["doc", "key"], "left")
     alone = known.filter("copied is null").select("doc_id", "doc", "key", "text")
     pairs = alone.mapInPandas(_name_positions(buckets), PAIRS)
