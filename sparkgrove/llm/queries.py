@@ -48,6 +48,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""with t as materialized (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+pieces as (select doc_id, unnest(regexp_extract_all(h, '.{1,256}')) x, unnest(range(128, 128 + len(h) // 2, 128)) - 127 first from t),
+wide as (select doc_id, first, x || coalesce(lead(x) over (partition by doc_id order by first)[:98], '') x from pieces),
+p as materialized (select doc_id, first + j i, s from (select doc_id, first, j, x[2 * j + 1:2 * j + 100] s from (select *, unnest(range(least(128, len(x) // 2 - 49))) j from wide))),
+least_of as materialized (select s, min(doc_id) m from p group by s having min(doc_id) < max(doc_id)),
+starts as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) step from p join least_of using (s) where m < doc_id),
+numbered as (select *, count_if(step is null or step > 50) over (partition by doc_id order by i rows unbounded preceding) run from starts),
+runs as (select doc_id, run, min(i) a, max(i) + 49 z from numbered group by doc_id, run),
+gaps as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) before from runs),
+cut as (select g.doc_id, sum(z - a + 1)::bigint n_removed, count(*) n_spans, max(z) last, string_agg(h[2 * before + 1:2 * (a - 1)], '' order by a) head from gaps g join t on t.doc_id = g.doc_id group by g.doc_id)
+select t.doc_id, len(h)::bigint // 2 n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+  sha256(unhex(coalesce(head, '') || h[2 * coalesce(last, 0) + 1:])) kept_sha256
+from t left join cut on cut.doc_id = t.doc_id""",
     "op6_exact_dedup": r"""with t as (select doc_id, length(coalesce(text, '')) len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents)
 select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by norm) group_size, row_number() over w = 1 kept, sha256(norm) text_sha256
 from t window w as (partition by norm order by len desc, doc_id rows between unbounded preceding and unbounded following)""",

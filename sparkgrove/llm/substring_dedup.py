@@ -388,23 +388,33 @@ def _cut(digest: bool):
     return F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "rest binary, spans array<struct<begin:int,end:int>>")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest: bool = True) -> DataFrame:
-    """digest: doc_id, n_bytes, n_removed, n_spans, kept_sha256; else doc_id, rest BINARY, spans."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = parts * FAN
+def keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """doc_id, text, doc (the id by which documents are ordered), key (a hash of both)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     order: Column = F.coalesce("doc_id", F.lit(int(_NO_ID)))
-    base = base.select("doc_id", "text", order.alias("doc"), F.xxhash64("doc_id", "text").alias("key"))
-    held = base.repartition(parts, "doc", "key")  # each use reads all its columns, or it would be written once more
+    return base.select("doc_id", "text", order.alias("doc"), F.xxhash64("doc_id", "text").alias("key"))
+
+
+def whole_copies(base: DataFrame, n: int) -> DataFrame:
+    """doc, key, copied (true): of n keyed rows, those whose whole text a smaller document has too."""
     same = base.select("doc", "key", F.sha2("text", 256).alias("sha"))
     firsts = same.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).filter("least < most")
     firsts = materialise(firsts, "firsts")
-    large = F.col("n") >= max(2, HOT * docs.count())
+    large = F.col("n") >= max(2, HOT * n)
     hot = F.broadcast(firsts.filter(large))  # at most 1 / HOT rows
     rest = same.join(hot.select("sha"), "sha", "left_anti").join(firsts.filter(~large), "sha")
     copies = same.join(hot, "sha").unionByName(rest).filter("doc > least").select("doc", "key").distinct()
-    copies = materialise(copies.withColumn("copied", F.lit(True)), "copies")
+    return materialise(copies.withColumn("copied", F.lit(True)), "copies")
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest: bool = True) -> DataFrame:
+    """digest: doc_id, n_bytes, n_removed, n_spans, kept_sha256; else doc_id, rest BINARY, spans."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts * FAN
+    base = keyed(docs, text_col, id_col)
+    held = base.repartition(parts, "doc", "key")  # each use reads all its columns, or it would be written once more
+    copies = whole_copies(base, docs.count())
     known = held.join(copies, ["doc", "key"], "left")
     alone = known.filter("copied is null").select("doc_id", "doc", "key", "text")
     pairs = alone.mapInPandas(_name_positions(buckets), PAIRS)

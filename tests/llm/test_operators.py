@@ -18,6 +18,7 @@ from sparkgrove.llm.language import keep_identified, language_id
 from sparkgrove.llm.mixing import apply_mix, mix
 from sparkgrove.llm.near_dedup import drop_near_copies, near_groups
 from sparkgrove.llm.neighbours import search
+from sparkgrove.llm.prefix_doubling import remove_repeats_by_doubling
 from sparkgrove.llm.pseudonyms import pseudonymise
 from sparkgrove.llm.sharding import Topology, shard
 from sparkgrove.llm.substring_dedup import remove_repeats
@@ -54,6 +55,7 @@ def rows_of(df):
 
 OPERATORS = {
     "op1": remove_repeats,
+    "op1_doubling": remove_repeats_by_doubling,
     "op3": lambda d: encode_decode(d, PATH),
     "op4": shard,
     "op5": language_id,
@@ -100,7 +102,8 @@ def brute_repeats(rows, length=50):
     return out
 
 
-def test_substring_dedup(docs, odd, spark):
+@pytest.mark.parametrize("remove_repeats", [remove_repeats, remove_repeats_by_doubling])
+def test_substring_dedup(docs, odd, spark, remove_repeats):
     extra = spark.createDataFrame([(1, "ab" * 60), (2, "ab" * 200), (3, "z" * 49), (4, "z" * 49), (5, "q" * 51), (6, "q" * 50)], "doc_id long, text string")
     for d in (docs, odd, extra):
         key = lambda r: tuple(map(str, r))
