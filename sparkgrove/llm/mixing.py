@@ -27,7 +27,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
+def draw(doc_id: Column, seed: int | str) -> Column:
     """A uniform number in (0, 1) by hash of the id: 48 bits of md5."""
     h = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}")))
     return (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)

@@ -61,6 +61,24 @@ cut as (select g.doc_id, sum(z - a + 1)::bigint n_removed, count(*) n_spans, max
 select t.doc_id, len(h)::bigint // 2 n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
   sha256(unhex(coalesce(head, '') || h[2 * coalesce(last, 0) + 1:])) kept_sha256
 from t left join cut on cut.doc_id = t.doc_id""",
+    "op4_sharding": r"""with recursive d as materialized (select row_number() over () r, doc_id, coalesce(doc_id::varchar, 'null') || ':' k, encode(coalesce(text, '')) b from documents),
+bytes as (select r, list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::bigint) l from d),
+sums as (select r, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, l), lambda c, x: xor(c >> 8,
+  xor(xor(xor((xor(c, x) & 1) * 1996959894, (xor(c, x) >> 1 & 1) * 3993919788), xor((xor(c, x) >> 2 & 1) * 124634137, (xor(c, x) >> 3 & 1) * 249268274)),
+      xor(xor((xor(c, x) >> 4 & 1) * 498536548, (xor(c, x) >> 5 & 1) * 997073096), xor((xor(c, x) >> 6 & 1) * 1994146192, (xor(c, x) >> 7 & 1) * 3988292384)))))) text_crc32 from bytes),
+nodes(grown, level, place, child, weight) as (
+  select false, 'region', 'region/' || i, i, 8 from range(2) t(i) union all
+  select true, 'region', 'region/' || i, i, case i when 2 then 1 else 8 end from range(3) t(i) union all
+  select g, 'rack', 'rack' || i || '/' || j, j, 4 from range(2) t(i), range(2) u(j), (values (false), (true)) v(g) union all
+  select g, 'shard', 'shard' || s // 8 || '.' || s // 4 % 2 || '/' || s, s, 1 from range(16) t(s), (values (false), (true)) v(g)),
+draws as (select r, grown, level, place, child, -ln((('0x' || md5(k || place)[1:12])::bigint::double + 0.5::double) / 281474976710656::double) / weight::double score from d, nodes),
+region as (select r, grown, arg_min(child, score) region from draws where level = 'region' group by r, grown),
+rack as (select r, grown, region, arg_min(child, score) rack from draws join region using (r, grown) where level = 'rack' and place like 'rack' || region || '/%' group by all),
+leaf as (select r, grown, arg_min(child, score) leaf from draws join rack using (r, grown) where level = 'shard' and place like 'shard' || region || '.' || rack || '/%' group by all),
+placed as (select d.r, doc_id, octet_length(b) + 1 size, text_crc32, l.leaf shard, coalesce(g.leaf, 16) grown_shard,
+    floor((('0x' || md5(k || 'part')[1:12])::bigint::double + 0.5::double) / 281474976710656::double * 64) part
+  from d join sums using (r) join leaf l on l.r = d.r and not l.grown left join leaf g on g.r = d.r and g.grown)
+select doc_id, size, text_crc32, 'key' law, shard::int shard, row_number() over (partition by shard order by part, doc_id, text_crc32, size) - 1 slot, grown_shard::int grown_shard from placed""",
     "op6_exact_dedup": r"""with t as (select doc_id, length(coalesce(text, '')) len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents)
 select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by norm) group_size, row_number() over w = 1 kept, sha256(norm) text_sha256
 from t window w as (partition by norm order by len desc, doc_id rows between unbounded preceding and unbounded following)""",

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkgrove.llm.mixing import draw
+
 #: Slots are numbered in this many parts of a shard at once.
 PARTS = 64
 
@@ -50,8 +52,7 @@ def _pick(doc_id: Column, level: str, names: list[str], weights: list[float]) ->
         return F.lit(0)
     scores = []
     for i, (name, w) in enumerate(zip(names, weights)):
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(f"{level}/{name}"), doc_id), 11).cast("double") + 0.5) / float(2**53)
-        scores.append(F.struct((-F.ln(u) / w).alias("s"), F.lit(i).alias("i")))
+        scores.append(F.struct((-F.ln(draw(doc_id, f"{level}/{name}")) / w).alias("s"), F.lit(i).alias("i")))
     return F.least(*scores)["i"]
 
 
@@ -79,7 +80,7 @@ def shard(docs: DataFrame, topology: Topology | None = None, text_col: str = "te
     """
     topology = topology or Topology.even()
     doc = F.col("doc_id")
-    part = F.pmod(F.xxhash64(F.lit("part"), doc), F.lit(PARTS)).cast("int")
+    part = F.floor(draw(doc, "part") * PARTS).cast("int")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     counts = ids.select(assign(doc, topology).alias("shard"), part.alias("part")).groupBy("shard", "part").agg(F.count("*").alias("n"))
     first = F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
