@@ -11,7 +11,8 @@ hash, and doubling is only how a hash is computed inside one document:
 2. (name, position) pairs of all documents are dealt by name and sorted; names that one document alone
    has are unique and drop out. Most do.
 3. The others are extended on both sides to every LENGTH-byte string that holds them, named by doubling on
-   to 32 and 50 bytes, dealt and sorted again: a string that starts in a smaller document is marked.
+   to 40 and 50 bytes, dealt and sorted again: a string that starts in a smaller document is marked. Anchors
+   of a batch with equal bytes around them travel as one context with their places, and are named once.
 4. Marks go back to their documents, whose bytes are cut.
 
 Pairs travel as packed arrays, one row per (batch, bucket). The documents are exchanged once and that
@@ -251,11 +252,34 @@ def _shared_positions(n_dests: int):
 
 LEFT = SPAN - 1  # bytes before an anchor that a string with it can hold
 WIDE = LEFT + LENGTH  # of both sides
-CONTEXTS = "bucket int, size int, docs binary, keys binary, owner binary, place binary, room binary, bytes binary"
+CONTEXTS = "bucket int, size int, docs binary, keys binary, owner binary, cls binary, place binary, room binary, left binary, bytes binary"
+#: Anchors whose contexts are told apart at once.
+HELD = 50_000
+_WORDS = _RNG.integers(0, 2**63, WIDE // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _classes(around: np.ndarray, room: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first anchor of each class, class of each anchor): anchors of a class have equal contexts. The hash
+    only proposes classes; what differs from its class's first is a class of its own."""
+    ends = room.astype(np.uint64) * np.uint64(256) + left
+    h = mix((around.view(np.uint64) * _WORDS).sum(axis=1, dtype=np.uint64) + ends * _A)
+    _, first, mine = np.unique(h, return_index=True, return_inverse=True)
+    like = first[mine]
+    odd = np.flatnonzero((around.view(np.uint64) != around[like].view(np.uint64)).any(axis=1) | (room != room[like]) | (left != left[like]))
+    mine[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate((first, odd)), mine
+
+
+def _small(x: np.ndarray, n: int) -> bytes:
+    return x.astype(np.uint16 if n < 65536 else np.uint32).tobytes()
+
+
+def _unsmall(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if n < 65536 else np.uint32)
 
 
 def _contexts(n_buckets: int):
-    """Step 3, first half: each shared anchor with the bytes around it."""
+    """Step 3, first half: each shared anchor with the bytes around it, equal ones once a batch."""
 
     def run(batches):
         for pdf in batches:
@@ -267,10 +291,9 @@ def _contexts(n_buckets: int):
                 place = np.sort(np.frombuffer(found, np.uint32).astype(np.int64))
                 padded = np.concatenate((np.zeros(LEFT, np.uint8), b, np.zeros(LENGTH, np.uint8)))
                 around = np.lib.stride_tricks.sliding_window_view(padded, WIDE)[place]
-                names = gram_names(np.ascontiguousarray(around[:, LEFT : LEFT + GRAM]))[:, 0]
-                held.append((doc, key, place, np.minimum(len(b) - place, LENGTH), around, names))
+                held.append((doc, key, place, np.minimum(len(b) - place, LENGTH), around))
                 size += len(place)
-                if size >= 20_000:
+                if size >= HELD:
                     yield pack(held)
                     held, size = [], 0
             if held:
@@ -280,21 +303,26 @@ def _contexts(n_buckets: int):
         owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
         docs, keys = np.array([h[0] for h in held]), np.array([h[1] for h in held])
         place, room = np.concatenate([h[2] for h in held]).astype(np.uint32), np.concatenate([h[3] for h in held]).astype(np.uint8)
-        around, names = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
-        rows = []
-        for k, at in _deal(_bucket(names, n_buckets), n_buckets):
-            own, mine = np.unique(owner[at], return_inverse=True)
-            rows.append((k, len(at), docs[own].tobytes(), keys[own].tobytes(), mine.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), place[at].tobytes(), room[at].tobytes(), around[at].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "size", "docs", "keys", "owner", "place", "room", "bytes"])
+        around, left = np.concatenate([h[4] for h in held]), np.minimum(place, LEFT).astype(np.uint8)
+        first, mine = _classes(around, room, left)
+        around, room, left = around[first], room[first], left[first]
+        bucket = _bucket(gram_names(np.ascontiguousarray(around[:, LEFT : LEFT + GRAM]))[:, 0], n_buckets)
+        local, rows = np.empty(len(first), np.int64), []
+        # every class has an anchor: both deal the same buckets
+        for (k, c), (_, at) in zip(_deal(bucket, n_buckets), _deal(bucket[mine], n_buckets)):
+            local[c] = np.arange(len(c))
+            own, of = np.unique(owner[at], return_inverse=True)
+            rows.append((k, len(c), docs[own].tobytes(), keys[own].tobytes(), _small(of, len(own)), _small(local[mine[at]], len(c)), place[at].tobytes(), room[c].tobytes(), left[c].tobytes(), around[c].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "size", "docs", "keys", "owner", "cls", "place", "room", "left", "bytes"])
 
     return run
 
 
-STEP = 8192  # anchors named at once
+STEP = 8192  # contexts named at once
 
 
 def _by_name(around: np.ndarray):
-    """Indexes of the anchors in slices of about STEP, all anchors of a name together."""
+    """Indexes of the contexts in slices of about STEP, all of a name together."""
     names = np.concatenate([gram_names(np.ascontiguousarray(around[a : a + STEP, LEFT : LEFT + GRAM]))[:, 0] for a in range(0, len(around), STEP)])
     order = np.argsort(names, kind="stable")
     s = names[order]
@@ -304,26 +332,22 @@ def _by_name(around: np.ndarray):
         yield order[a:b]
 
 
-def _marked(docs, place, room, around) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, end of starts): runs of the strings around these anchors that a smaller
-    document has. One offset at a time: equal strings hold their anchor at one offset."""
+def _least(around: np.ndarray, room: np.ndarray, left: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The smallest document that has the string, by (context, offset), from the smallest that has each
+    context. One offset at a time: equal strings hold their anchor at one offset."""
     h = np.concatenate([string_names(gram_names(around[a : a + STEP])) for a in range(0, len(docs), STEP)])
-    gone = np.zeros((len(docs), SPAN + 2), np.int8)  # a clear column on either side
+    out = np.full((len(docs), SPAN), _NO_ID)
     for c in range(SPAN):
         shift = c - LEFT
-        at = np.flatnonzero((place + shift >= 0) & (room >= LENGTH + shift))
-        if len(at) < 2:
+        at = np.flatnonzero((left + shift >= 0) & (room >= LENGTH + shift))
+        if not len(at):
             continue
         names = h[at, c]
         order = np.argsort(names, kind="stable")
         s, d = names[order], docs[at[order]]
         new = np.concatenate(([True], s[1:] != s[:-1]))
-        least = np.minimum.reduceat(d, np.flatnonzero(new))
-        gone[at[order[d > least[np.cumsum(new) - 1]]], c + 1] = 1
-    edge = np.diff(gone, axis=1)
-    at, first = np.nonzero(edge == 1)
-    _, end = np.nonzero(edge == -1)
-    return at, place[at] + first - LEFT, place[at] + end - LEFT
+        out[at[order], c] = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
 
 
 def _mark(n_dests: int):
@@ -333,21 +357,42 @@ def _mark(n_dests: int):
     def run(batches):
         parts = []
         for rows in _runs(batches):
-            docs, keys, place, room, around = [], [], [], [], []
-            for r in rows:
-                d, k = np.frombuffer(r.docs, np.int64), np.frombuffer(r.keys, np.int64)
-                o = np.frombuffer(r.owner, np.uint16 if len(d) < 65536 else np.uint32)
-                docs.append(d[o]), keys.append(k[o]), place.append(np.frombuffer(r.place, np.uint32).astype(np.int64))
-                room.append(np.frombuffer(r.room, np.uint8).astype(np.int64)), around.append(np.frombuffer(r.bytes, np.uint8).reshape(-1, WIDE))
-            docs, keys, place, room, around = (np.concatenate(x) for x in (docs, keys, place, room, around))
-            for some in _by_name(around):
-                at, first, end = _marked(docs[some], place[some], room[some], around[some])
-                parts.append((docs[some[at]], keys[some[at]], first.astype(np.uint32), end.astype(np.uint32)))
+            parts += marked(rows)
         if parts:
             docs, keys, first, end = (np.concatenate(x) for x in zip(*parts))
             if len(docs):
                 yield _per_document(docs, keys, np.stack((first, end), axis=1), n_dests)
 
+    def marked(rows):
+        docs, keys, cls, place, base = [], [], [], [], 0
+        for r in rows:
+            d, k = np.frombuffer(r.docs, np.int64), np.frombuffer(r.keys, np.int64)
+            o = _unsmall(r.owner, len(d))
+            docs.append(d[o]), keys.append(k[o]), place.append(np.frombuffer(r.place, np.uint32).astype(np.int64))
+            cls.append(_unsmall(r.cls, r.size).astype(np.int64) + base)
+            base += r.size
+        docs, keys, cls, place = (np.concatenate(x) for x in (docs, keys, cls, place))
+        room, left = (np.concatenate([np.frombuffer(x, np.uint8) for x in xs]).astype(np.int64) for xs in ([r.room for r in rows], [r.left for r in rows]))
+        around = np.concatenate([np.frombuffer(r.bytes, np.uint8).reshape(-1, WIDE) for r in rows])
+        by = np.argsort(cls, kind="stable")
+        count = np.bincount(cls, minlength=base)
+        begin = np.cumsum(count) - count
+        low = np.minimum.reduceat(docs[by], begin)
+        for some in _by_name(around):
+            least = _least(around[some], room[some], left[some], low[some])
+            n = count[some]
+            row = np.repeat(np.arange(len(some)), n)
+            at = by[np.arange(len(row)) + np.repeat(begin[some] - (np.cumsum(n) - n), n)]
+            for a in range(0, len(at), STEP):
+                m = at[a : a + STEP]
+                gone = np.zeros((len(m), SPAN + 2), np.int8)  # a clear column on either side
+                gone[:, 1:-1] = docs[m][:, None] > least[row[a : a + STEP]]
+                edge = np.diff(gone, axis=1)
+                i, first = np.nonzero(edge == 1)
+                _, end = np.nonzero(edge == -1)
+                m = m[i]
+                yield docs[m], keys[m], (place[m] + first - LEFT).astype(np.uint32), (place[m] + end - LEFT).astype(np.uint32)
+
     return run
 
 
