@@ -80,16 +80,29 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - k)], x[width - k :]) if width > k else x
 
 
+#: Strings of a document whose anchors are looked for at once.
+PIECE = 1 << 18
+
+
 def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, names) of the grams that are least in some string of a document's bytes."""
-    if len(b) < LENGTH:
+    found = [_anchors(b[a : a + PIECE + LENGTH - 1], a) for a in range(0, len(b) - LENGTH + 1, PIECE)]
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
+    if len(found) == 1:
+        return found[0]
+    at, names = (np.concatenate(x) for x in zip(*found))
+    at, first = np.unique(at, return_index=True)  # strings on both sides of a cut may share an anchor
+    return at, names[first]
+
+
+def _anchors(b: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
     h = gram_names(b)
     low = _slide(h, SPAN, np.minimum)
     pad = np.zeros(SPAN - 1, np.uint64)
     high = _slide(np.concatenate((pad, low, pad)), SPAN, np.maximum)
     at = np.flatnonzero(h == high)
-    return at, h[at]
+    return at + begin, h[at]
 
 
 def _encode(text: str | None) -> np.ndarray:
@@ -409,14 +422,12 @@ def _mark(n_dests: int):
     return run
 
 
-def cut_spans(n: int, starts: np.ndarray) -> np.ndarray:
+def cut_spans(starts: np.ndarray) -> np.ndarray:
     """(begin, end) of the maximal runs that LENGTH-byte strings cover, from (first, end) of their starts."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts[:, 0], 1)
-    np.add.at(step, starts[:, 1] - 1 + LENGTH, -1)
-    gone = np.cumsum(step[:-1]) > 0
-    edge = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
-    return np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), axis=1)
+    starts = starts[np.argsort(starts[:, 0], kind="stable")]
+    upto = np.maximum.accumulate(starts[:, 1] - 1 + LENGTH)
+    first = np.flatnonzero(np.concatenate(([True], starts[1:, 0] > upto[:-1])))
+    return np.stack((starts[first, 0], upto[np.append(first[1:], len(starts)) - 1]), axis=1)
 
 
 def _cut(digest: bool):
@@ -430,13 +441,11 @@ def _cut(digest: bool):
                 if copied and len(b) >= LENGTH:
                     spans = np.array([[0, len(b)]])
                 elif found is not None and len(found):
-                    spans = cut_spans(len(b), np.frombuffer(found, np.uint32).reshape(-1, 2).astype(np.int64))
+                    spans = cut_spans(np.frombuffer(found, np.uint32).reshape(-1, 2).astype(np.int64))
                 else:
                     spans = np.empty((0, 2), np.int64)
-                keep = np.ones(len(b), bool)
-                for x, y in spans.tolist():
-                    keep[x:y] = False
-                rest = b[keep].tobytes()
+                kept = zip([0, *spans[:, 1].tolist()], [*spans[:, 0].tolist(), len(b)])
+                rest = b"".join(b[x:y].tobytes() for x, y in kept)
                 if digest:
                     rows.append((len(b), len(b) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
                 else:
