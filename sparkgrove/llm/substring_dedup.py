@@ -42,7 +42,7 @@ GRAM = 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
 #: Bytes of text named at once, and buckets per shuffle partition.
 SLICE = 1 << 20
-FAN = 4
+FAN = 2
 #: Texts that at least this share of all rows hold whole are joined by broadcast: there are at most 1 / HOT.
 HOT = 0.001
 _NO_ID = np.iinfo(np.int64).max
@@ -485,9 +485,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     known = held.join(copies, ["doc", "key"], "left")
     alone = known.filter("copied is null").select("doc_id", "doc", "key", "text")
     pairs = alone.mapInPandas(_name_positions(buckets), PAIRS)
-    shared = pairs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared_positions(parts), FOUND)
-    gather = lambda f, width: f.repartition(parts, "dest").sortWithinPartitions("dest").mapInPandas(_assembled(width), "doc long, key long, found binary")
+    shared = pairs.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInPandas(_shared_positions(parts), FOUND)
+    gather = lambda f, width: f.repartitionById(parts, F.col("dest")).sortWithinPartitions("dest").mapInPandas(_assembled(width), "doc long, key long, found binary")
     around = held.join(gather(shared, 1), ["doc", "key"], "left").select("doc_id", "doc", "key", "text", "found").mapInPandas(_contexts(buckets), CONTEXTS)
-    marked = around.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_mark(parts), FOUND)
+    marked = around.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInPandas(_mark(parts), FOUND)
     last = held.join(gather(marked, 2), ["doc", "key"], "left").join(copies, ["doc", "key"], "left")
     return last.select("doc_id", _cut(digest)("text", "found", F.coalesce("copied", F.lit(False))).alias("c")).select("doc_id", "c.*")
