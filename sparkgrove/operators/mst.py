@@ -41,23 +41,72 @@ class Forest:
 
 
 def _accept(batches):
+    """Edges u, v, weight that close no cycle, from edges in order between components a, b."""
     forest = Forest()
     for pdf in batches:
-        take = [forest.link(u, v) for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist())]
-        yield pdf[np.array(take, bool)] if take else pdf
+        take = [forest.link(a, b) for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist())]
+        yield pdf.loc[np.array(take, bool), ["u", "v", "weight"]]
 
 
-def kruskal(edges: DataFrame, buckets: int = 1) -> DataFrame:
+#: Edges that one task folds at most; more are contracted first, in rounds over all tasks.
+FOLD_EDGES = 1_000_000
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    return edges.withColumns({"a": F.col("u"), "b": F.col("v")})
+
+
+def contract(edges: DataFrame, fold_edges: int) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """Boruvka rounds over edges (a, b, u, v, weight) between components a <> b, until fold_edges are left at most.
+
+    (forest edges found, edges left between the new components, one table a, root for each round). Every
+    component takes its least edge (combined before the shuffle) and joins the component at its other end; of
+    two that take the same edge the smaller is the root. Chains are halved by joins until all point at roots.
+    A round at least halves the components that have edges; parallel edges leave but for the least.
+    """
+    order = F.struct("weight", "u", "v").alias("e")
+    e = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), order).groupBy("a", "b").agg(F.min("e").alias("e")), "between")
+    chosen, steps = [], []
+    while e.count() > fold_edges:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
+        least = materialise(both.groupBy("a").agg(F.min(F.struct("e", "b")).alias("m")).select("a", F.col("m.b").alias("to"), "m.e"), "least")
+        back = least.select(F.col("a").alias("to"), F.col("to").alias("back"))
+        root = (F.col("back") == F.col("a")) & (F.col("a") < F.col("to"))
+        hooked = materialise(least.join(back, "to").select("a", F.when(root, F.col("a")).otherwise(F.col("to")).alias("root"), "e"), "hooked")
+        chosen.append(hooked.filter("a <> root").select("e.u", "e.v", "e.weight"))
+        up = hooked.select("a", "root")
+        while True:
+            over = up.select(F.col("a").alias("root"), F.col("root").alias("next"))
+            jumped = materialise(up.join(over, "root").select("a", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "up")
+            up = jumped.select("a", "root")
+            if jumped.filter("moved").isEmpty():
+                break
+        steps.append(up)
+        to = lambda k: up.select(F.col("a").alias(k), F.col("root").alias(f"{k}_root"))
+        moved = e.join(to("a"), "a").join(to("b"), "b").filter("a_root <> b_root")
+        ends = [F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")]
+        e = materialise(moved.select(*ends, "e").groupBy("a", "b").agg(F.min("e").alias("e")), "between")
+    return chosen, e.select("a", "b", "e.u", "e.v", "e.weight"), steps
+
+
+def kruskal(edges: DataFrame, buckets: int = 1, most: int | None = None, fold_edges: int = FOLD_EDGES) -> DataFrame:
     """The minimum spanning forest of an edge list; repeated edges and loops are harmless.
 
     buckets > 1 first drops, in parallel, what closes a cycle within a bucket: such an edge is the
-    heaviest of a cycle, so the forest of the survivors is the forest of all. The last fold is one task
-    over fewer than buckets x n rows.
+    heaviest of a cycle, so the forest of the survivors is the forest of all. Unless most, a bound of the
+    number of edges, is at most fold_edges, components are contracted until that many edges are left for the
+    ordered fold in one task.
     """
     e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("weight").cast("double").alias("weight")).filter("u <> v")
     if buckets > 1:
-        e = e.repartition(buckets).sortWithinPartitions("weight", "u", "v").mapInPandas(_accept, EDGES)
-    return e.repartition(1).sortWithinPartitions("weight", "u", "v").mapInPandas(_accept, EDGES)
+        e = _between(e).repartition(buckets).sortWithinPartitions("weight", "u", "v").mapInPandas(_accept, EDGES)
+    chosen, rest = [], _between(e)
+    if most is None or most > fold_edges:
+        chosen, rest, _ = contract(rest, fold_edges)
+    found = rest.repartition(1).sortWithinPartitions("weight", "u", "v").mapInPandas(_accept, EDGES)
+    for some in chosen:
+        found = found.unionByName(some)
+    return found
 
 
 def extend_forest(forest: DataFrame, edges: DataFrame, buckets: int = 1) -> DataFrame:
@@ -104,7 +153,7 @@ def _tree_of_pair(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": u, "v": v, "weight": w})
 
 
-def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_BLOCK) -> DataFrame:
+def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_BLOCK, fold_edges: int = FOLD_EDGES) -> DataFrame:
     """Spanning tree by block pairs, nearest pairs first.
 
     The tree of two blocks' points holds every edge of the global tree between them, so the union over
@@ -119,7 +168,7 @@ def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_B
     a, b = np.triu_indices(len(t)) if len(t) == 1 else np.triu_indices(len(t), 1)
     order = np.argsort(bound[a, b], kind="stable")
     a, b, lb = a[order], b[order], bound[a, b][order]
-    numbers, forest, spark = t["block"].to_numpy(), None, points_cd.sparkSession
+    numbers, sizes, forest, spark = t["block"].to_numpy(), t["n"].to_numpy(), None, points_cd.sparkSession
     step = max(4 * len(t), 16)
     while len(a):
         take = min(len(a), step, PAIRS_PER_ROUND)
@@ -127,10 +176,11 @@ def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_B
         sides = pairs.select("pair", F.explode(F.array_distinct(F.array(F.col("x").cast("int"), F.col("y").cast("int")))).alias("block"))
         trees = sides.join(blocked, "block").select("pair", "id", "c", "cd").groupBy("pair").applyInPandas(_tree_of_pair, EDGES)
         edges = trees if forest is None else forest.unionByName(trees)
-        forest = materialise(kruskal(edges, buckets=max(1, take // 64)), "forest")
+        most = int(sizes[a[:take]].sum() + sizes[b[:take]].sum()) + n
+        forest = materialise(kruskal(edges, max(1, take // 64), most, fold_edges), "forest")
         a, b, lb, step = a[take:], b[take:], lb[take:], step * 2
         if len(a):
-            heavy, comp = _block_components(forest, blocked, t)
+            heavy, comp = _block_components(forest, n - 1, blocked, t, fold_edges)
             same = (comp[a] >= 0) & (comp[a] == comp[b])
             keep = ~(same & (lb > heavy[np.maximum(comp[a], 0)]))
             a, b, lb = a[keep], b[keep], lb[keep]
@@ -138,26 +188,36 @@ def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_B
 
 
 def _label(batches):
-    forest, edges = Forest(), []
+    forest = Forest()
     for pdf in batches:
-        for u, v, w in zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["weight"].tolist()):
-            forest.link(u, v)
-            edges.append((u, w))
-    heavy: dict[int, float] = {}
-    for u, w in edges:
-        r = forest.find(u)
-        heavy[r] = max(heavy.get(r, 0.0), w)
-    ids = sorted(forest.up.keys() | set(heavy))
-    yield pd.DataFrame({"id": np.array(ids, "int64"), "comp": np.array([forest.find(i) for i in ids], "int64"), "heavy": np.array([heavy[forest.find(i)] for i in ids], "float64")})
-
-
-def _block_components(forest: DataFrame, blocked: DataFrame, t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            forest.link(a, b)
+    ids = sorted(forest.up.keys() | set(forest.up.values()))
+    yield pd.DataFrame({"id": np.array(ids, "int64"), "comp": np.array([forest.find(i) for i in ids], "int64")})
+
+
+def components(forest: DataFrame, edges: int, fold_edges: int = FOLD_EDGES) -> DataFrame:
+    """id, comp of every id in the given number of edges: ids of one tree share their comp."""
+    rest, steps = _between(forest), []
+    if edges > fold_edges:
+        _, rest, steps = contract(rest, fold_edges)
+    labels = rest.repartition(1).mapInPandas(_label, "id long, comp long")
+    for step in reversed(steps):  # the last has the fewest rows
+        last = labels.select(F.col("id").alias("root"), "comp")
+        labels = step.join(last, "root", "left").select(F.col("a").alias("id"), F.coalesce("comp", "root").alias("comp"))
+    return labels
+
+
+def _block_components(forest: DataFrame, edges: int, blocked: DataFrame, t: pd.DataFrame, fold_edges: int) -> tuple[np.ndarray, np.ndarray]:
     """Per block the index of its component if all its points share one, else -1; the heaviest edge of each."""
-    labels = forest.repartition(1).mapInPandas(_label, "id long, comp long, heavy double")
-    per = blocked.join(labels, "id", "left").groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("heavy").alias("heavy"), F.count_if(F.col("comp").isNull()).alias("alone")).toPandas()
-    per = per.set_index("block").loc[t["block"]]
-    uniform = (per["lo"] == per["hi"]).to_numpy() & (per["alone"] == 0).to_numpy()
-    names, index = np.unique(per["lo"].fillna(-1).to_numpy(), return_inverse=True)
+    labels = materialise(components(forest, edges, fold_edges), "labels")
+    per = blocked.join(labels, "id", "left").groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("comp").isNull()).alias("alone"))
+    per = materialise(per.select("block", F.when((F.col("lo") == F.col("hi")) & (F.col("alone") == 0), F.col("lo")).alias("comp")), "uniform")
+    whole = F.broadcast(per.filter("comp is not null").select("comp").distinct())  # at most a row a block
+    heaviest = forest.join(labels.join(whole, "comp"), forest.u == labels.id).groupBy("comp").agg(F.max("weight").alias("heavy"))
+    per = per.join(heaviest, "comp", "left").toPandas().set_index("block").loc[t["block"]]
+    uniform = per["comp"].notna().to_numpy()
+    names, index = np.unique(per["comp"].fillna(-1).to_numpy(), return_inverse=True)
     heavy = np.zeros(len(names))
     np.maximum.at(heavy, index[uniform], per["heavy"].to_numpy()[uniform])
     return heavy, np.where(uniform, index, -1)

@@ -7,7 +7,7 @@ from sparkgrove.operators.aggregates import prefix_sum
 from sparkgrove.operators.dendrogram import dendrogram
 from sparkgrove.operators.joins import closest_pair, range_join
 from sparkgrove.operators.knn import core_distance, distances, knn_blocks
-from sparkgrove.operators.mst import kruskal, mst_blocks
+from sparkgrove.operators.mst import Forest, components, kruskal, mst_blocks
 from sparkgrove.operators.wspd import box_tree, wspd
 from sparkgrove.plans.hierarchy import dendrogram_of, density_tree, to_linkage
 from sparkgrove.sources import points as P
@@ -145,6 +145,32 @@ def test_blocks_equal_bruteforce(spark, k):
     assert got == sorted((w, u, v) for u, v, w in brute_tree(x, k))
 
 
+@pytest.mark.parametrize("fold_edges", [0, 7, 10**6])
+def test_forest_by_rounds(spark, fold_edges):
+    rng = np.random.default_rng(9)
+    star = [(0, k, 1.0) for k in range(1, 60)]
+    chain = [(k, k + 1, float(k)) for k in range(100, 160)]
+    some = [(int(u), int(v), float(w)) for u, v, w in zip(rng.integers(200, 300, 400), rng.integers(200, 300, 400), rng.integers(0, 5, 400))]
+    rows = star + chain + some + some[:50] + [(v, u, w) for u, v, w in some[:50]]
+    e = spark.createDataFrame(rows, "u long, v long, weight double").repartition(3)
+    forest, want = Forest(), []
+    for w, u, v in sorted({(w, min(u, v), max(u, v)) for u, v, w in rows}):
+        if forest.link(u, v):
+            want.append((w, u, v))
+    got = kruskal(e, 2, fold_edges=fold_edges)
+    assert tree_rows(got) == want
+    comp = {r.id: r.comp for r in components(got, len(want), fold_edges).collect()}
+    ids = {i for _, u, v in want for i in (u, v)}
+    assert set(comp) == ids and all((comp[i] == comp[j]) == (forest.find(i) == forest.find(j)) for i in ids for j in ids)
+    assert kruskal(e.limit(0), fold_edges=fold_edges).count() == 0
+
+
+def test_tree_by_rounds(spark):
+    x = np.round(np.random.default_rng(4).normal(size=(150, 2)) * 4) / 4
+    df = P.from_numpy(spark, x).withColumn("cd", F.lit(0.0))
+    assert tree_rows(mst_blocks(df, 150, 2, block_size=30, fold_edges=20)) == sorted((w, u, v) for u, v, w in brute_tree(x, 1))
+
+
 def test_strict_pruning_keeps_canonical_edges(spark):
     df = P.from_numpy(spark, np.array([(10, 0), (0, 0), (-1, 0)]))
     cd = df.join(core_distance(df, 3), "id")
