@@ -15,6 +15,8 @@ from sparkgrove.sources.points import validate
 
 BLOCK_SIZE = 2048
 CHUNK = 512
+#: Distances held at once.
+HELD = 1 << 22
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,11 +28,16 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(acc)
 
 
+def _chunk(n: int) -> int:
+    return max(1, min(CHUNK, HELD // max(n, 1)))
+
+
 def nearest(a: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, id in b, distance) of the k nearest, ties at the k-th place settled by id."""
     rows, ids, dists = [], [], []
-    for at in range(0, len(a), CHUNK):
-        d = distances(a[at : at + CHUNK], b)
+    step = _chunk(len(b))
+    for at in range(0, len(a), step):
+        d = distances(a[at : at + step], b)
         if len(b) > k:
             limit = np.partition(d, k - 1, axis=1)[:, k - 1]
             r, c = np.nonzero(d <= limit[:, None])
@@ -55,10 +62,16 @@ def knn_bruteforce(points: DataFrame, k: int, dims: int) -> DataFrame:
 def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Block form: a local top k bounds each query's radius, then only blocks within it are probed.
 
-    Shuffles: points by block once per phase; probes carry one row per (query, reachable block).
+    Of points with equal coordinates the k smallest ids enter the blocks: no other can be among the k nearest of
+    any point, and the rest have just those k as neighbours, at distance 0. So no block fills with copies.
+    Shuffles: points by coordinates (k a group and task), by block once per phase; probes carry one row per
+    (query, reachable block).
     """
+    copy = F.row_number().over(W.partitionBy("c").orderBy("id"))
+    few = points.withColumn("_copy", copy).filter(F.col("_copy") <= k).drop("_copy")
     splits = fit_splits(points, n, max(block_size, 2 * k))
-    blocked = materialise(assign_blocks(points, splits), "blocked")  # read three times
+    blocked = materialise(assign_blocks(few, splits), "blocked")  # read four times
+    crowds = materialise(blocked.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("first")).filter(F.size("first") == k), "crowds")  # k ids each
     table = block_table(blocked, dims)
     lo, hi, sizes = np.stack(table["lo"]), np.stack(table["hi"]), table["n"].to_numpy()
     numbers = table["block"].to_numpy()
@@ -67,8 +80,9 @@ def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = B
         x, ids, own = np.stack(pdf["c"]), pdf["id"].to_numpy(), int(pdf["block"].iloc[0])
         radius = np.full(len(x), np.inf)
         if len(x) >= k:
-            for at in range(0, len(x), CHUNK):
-                radius[at : at + CHUNK] = np.partition(distances(x[at : at + CHUNK], x), k - 1, axis=1)[:, k - 1]
+            step = _chunk(len(x))
+            for at in range(0, len(x), step):
+                radius[at : at + step] = np.partition(distances(x[at : at + step], x), k - 1, axis=1)[:, k - 1]
         out = []
         for at in range(0, len(x), CHUNK):
             q, b = np.nonzero(box_gaps(x[at : at + CHUNK], x[at : at + CHUNK], lo, hi) <= radius[at : at + CHUNK, None])
@@ -87,7 +101,12 @@ def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = B
 
     found = probe.groupBy("block").cogroup(blocked.groupBy("block")).applyInPandas(answer, "id long, nbr long, dist double")
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "nbr"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
+    near = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
+    if crowds.isEmpty():
+        return near
+    rest = points.join(crowds, "c").filter(F.col("id") > F.col("first")[k - 1])
+    copies = rest.select("id", F.posexplode("first").alias("rank", "nbr"))
+    return near.unionByName(copies.select("id", (F.col("rank") + 1).alias("rank"), "nbr", F.lit(0.0).alias("dist")))
 
 
 def knn(points: DataFrame, k: int, max_dim: int = 20, block_size: int = BLOCK_SIZE) -> DataFrame:

@@ -159,8 +159,31 @@ def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_B
     The tree of two blocks' points holds every edge of the global tree between them, so the union over
     all pairs holds the global tree. Pairs are taken in order of the least weight a cross edge can have;
     once all points of a pair lie in one component whose edges are all lighter than that (strictly, so
-    ties keep their canonical edge), the pair cannot add an edge and is dropped.
+    ties keep their canonical edge), the pair cannot add an edge and is dropped. Points with equal coordinates
+    and core distance 0 hang on the smallest id among them, which alone enters the blocks.
     """
+    points_cd, hung = _hang_copies(points_cd)
+    if hung is not None:
+        n = points_cd.count()
+    forest = _tree_of_blocks(points_cd, n, dims, block_size, fold_edges) if n > 1 else None
+    return forest if hung is None else hung if forest is None else forest.unionByName(hung)
+
+
+def _hang_copies(points_cd: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(points without copies, an edge of weight 0 to the smallest id for each copy or None without any). Edges of
+    weight 0 join such copies alone, and of edges to equal points the one to the smallest id comes first: the
+    tree stays the same."""
+    zero = F.col("cd") == 0.0
+    firsts = points_cd.filter(zero).groupBy("c").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = materialise(firsts.select("c", "first"), "firsts")
+    if firsts.isEmpty():
+        return points_cd, None
+    known = materialise(points_cd.join(firsts, "c", "left").withColumn("first", F.when(zero, F.col("first"))), "hung")
+    copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
+    return known.filter(~copy).select(points_cd.columns), known.filter(copy).select(F.col("first").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("weight"))
+
+
+def _tree_of_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int, fold_edges: int) -> DataFrame:
     blocked = materialise(assign_blocks(points_cd, fit_splits(points_cd, n, block_size)), "blocks")
     t = block_table(blocked, dims, core=True)
     lo, hi = np.stack(t["lo"]), np.stack(t["hi"])

@@ -165,6 +165,24 @@ def test_forest_by_rounds(spark, fold_edges):
     assert kruskal(e.limit(0), fold_edges=fold_edges).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_copies_stay_out_of_blocks(spark, k):
+    rng = np.random.default_rng(k)
+    x = np.concatenate([np.tile([[1.0, 2.0]], (60, 1)), rng.integers(0, 6, (90, 2)).astype(float), -np.zeros((4, 2)), np.zeros((3, 2))])[rng.permutation(157)]
+    df = P.from_numpy(spark, x)
+    d = distances(x, x)
+    want = np.argsort(d, axis=1, kind="stable")[:, :k]
+    got = {(r.id, r.rank): (r.nbr, r.dist) for r in knn_blocks(df, 157, k, 2, block_size=8).collect()}
+    assert got == {(i, j + 1): (want[i, j], d[i, want[i, j]]) for i in range(157) for j in range(k)}
+    cd = df.withColumn("cd", F.element_at(F.array(*map(F.lit, np.sort(d, axis=1)[:, k - 1].tolist())), (F.col("id") + 1).cast("int")))
+    assert tree_rows(mst_blocks(cd, 157, 2, block_size=8)) == sorted((w, u, v) for u, v, w in brute_tree(x, k))
+
+
+def test_tree_of_copies_alone(spark):
+    df = P.from_numpy(spark, np.ones((5, 2))).withColumn("cd", F.lit(0.0))
+    assert tree_rows(mst_blocks(df, 5, 2)) == [(0.0, 0, v) for v in range(1, 5)]
+
+
 def test_tree_by_rounds(spark):
     x = np.round(np.random.default_rng(4).normal(size=(150, 2)) * 4) / 4
     df = P.from_numpy(spark, x).withColumn("cd", F.lit(0.0))
