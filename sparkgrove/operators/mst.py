@@ -122,33 +122,36 @@ def mutual_reach_edges(points_cd: DataFrame, dims: int) -> DataFrame:
 
 
 def _prim(x: np.ndarray, cd: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tree of one point set, one row of distances at a time; ids ascend."""
+    """The tree of one point set, one row of distances at a time. Points outside the tree stay in front."""
     n = len(x)
-    best, frm = np.full(n, np.inf), np.zeros(n, np.int64)
-    out = np.zeros(n, bool)
-    at, us, vs, ws = 0, [], [], []
-    for _ in range(n - 1):
-        out[at] = True
-        w = np.maximum(np.maximum(distances(x[at : at + 1], x)[0], cd[at]), cd)
-        lo, hi = np.minimum(ids[at], ids), np.maximum(ids[at], ids)
-        blo, bhi = np.minimum(ids[frm], ids), np.maximum(ids[frm], ids)
-        better = (w < best) | ((w == best) & ((lo < blo) | ((lo == blo) & (hi < bhi))))
-        better &= ~out
-        best[better], frm[better] = w[better], at
-        free = np.where(out, np.inf, best)
-        tied = np.flatnonzero(free == free.min())
-        tied = tied[~out[tied]]
+    xt, cd, ids = np.array(x.T, order="C"), cd.copy(), ids.copy()
+    best, frm = np.full(n, np.inf), np.full(n, -1, np.int64)
+    at, core, name = xt[:, n - 1].copy(), cd[n - 1], ids[n - 1]
+    us, vs, ws = [], [], []
+    for m in range(n - 1, 0, -1):
+        b, f, i = best[:m], frm[:m], ids[:m]
+        w = np.maximum(np.maximum(distances(at[None], xt[:, :m].T)[0], core), cd[:m])
+        better = w < b
+        same = np.flatnonzero(w == b)
+        if len(same):
+            lo, hi = np.minimum(name, i[same]), np.maximum(name, i[same])
+            blo, bhi = np.minimum(f[same], i[same]), np.maximum(f[same], i[same])
+            better[same] = (lo < blo) | ((lo == blo) & (hi < bhi))
+        np.copyto(b, w, where=better)
+        f[better] = name
+        tied = np.flatnonzero(b == b.min())
         if len(tied) > 1:
-            a, b = np.minimum(ids[frm[tied]], ids[tied]), np.maximum(ids[frm[tied]], ids[tied])
-            tied = tied[np.lexsort((b, a))]
-        nxt = int(tied[0])
-        us.append(min(ids[frm[nxt]], ids[nxt])), vs.append(max(ids[frm[nxt]], ids[nxt])), ws.append(best[nxt])
-        at = nxt
+            tied = tied[np.lexsort((np.maximum(f[tied], i[tied]), np.minimum(f[tied], i[tied])))]
+        k = int(tied[0])
+        us.append(min(f[k], i[k])), vs.append(max(f[k], i[k])), ws.append(b[k])
+        at, core, name = xt[:, k].copy(), cd[k], ids[k]
+        for col in (best, frm, ids, cd):
+            col[k] = col[m - 1]
+        xt[:, k] = xt[:, m - 1]
     return np.array(us, np.int64), np.array(vs, np.int64), np.array(ws, np.float64)
 
 
 def _tree_of_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("id")
     u, v, w = _prim(np.stack(pdf["c"]), pdf["cd"].to_numpy(), pdf["id"].to_numpy())
     return pd.DataFrame({"u": u, "v": v, "weight": w})
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sparkgrove.functions import boxes as B
 from sparkgrove.operators.aggregates import prefix_sum
 from sparkgrove.operators.dendrogram import dendrogram
-from sparkgrove.operators.joins import closest_pair, range_join
+from sparkgrove.operators.joins import closest_pair, closest_pairs_by_group, range_join
 from sparkgrove.operators.knn import core_distance, distances, knn_blocks
 from sparkgrove.operators.mst import Forest, components, kruskal, mst_blocks
 from sparkgrove.operators.wspd import box_tree, wspd
@@ -126,6 +126,20 @@ def test_closest_pair_prunes(spark):
     assert (got.u, got.v, got.weight) == (i, j + 1000, d.min())
 
 
+@pytest.mark.parametrize("mutual", [False, True])
+def test_closest_pairs_of_groups(spark, mutual):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(240, 2)), 1) + rng.integers(0, 4, (240, 1)) * 3
+    g, cd = rng.integers(0, 4, 240), np.round(rng.uniform(size=240), 1)
+    p = spark.createDataFrame([(i, x[i].tolist(), int(g[i]), float(cd[i])) for i in range(240)], "id long, c array<double>, label int, cd double")
+    d = distances(x, x)
+    w = np.maximum(np.maximum(d, cd[:, None]), cd[None]) if mutual else d
+    pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    want = {(a, b): min((w[i, j], min(i, j), max(i, j)) for i in np.flatnonzero(g == a) for j in np.flatnonzero(g == b)) for a, b in pairs}
+    got = closest_pairs_by_group(p, "label", 2, mutual, block_size=8).collect()
+    assert {(r.group_a, r.group_b): (r.weight, r.u, r.v) for r in got} == want
+
+
 def test_prefix_sum(spark):
     v = np.random.default_rng(1).integers(0, 9, 200)
     d = spark.createDataFrame([(int(k), int(x)) for k, x in enumerate(v)], "k long, x long").repartition(5)
