@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkgrove.functions.vector import unrolled_distance
 from sparkgrove.operators.blocks import assign_blocks, block_table, box_gaps, fit_splits
-from sparkgrove.session import materialise
+from sparkgrove.session import materialise, tasks
 from sparkgrove.sources.points import validate
 
 BLOCK_SIZE = 2048
@@ -75,6 +75,7 @@ def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = B
     table = block_table(blocked, dims)
     lo, hi, sizes = np.stack(table["lo"]), np.stack(table["hi"]), table["n"].to_numpy()
     numbers = table["block"].to_numpy()
+    by_block = lambda t: t.repartition(tasks(points.sparkSession, len(numbers)), "block").groupBy("block")
 
     def probes(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, own = np.stack(pdf["c"]), pdf["id"].to_numpy(), int(pdf["block"].iloc[0])
@@ -91,7 +92,7 @@ def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = B
         out["c"] = [x[r] for r in out.pop("row")]
         return out
 
-    probe = blocked.groupBy("block").applyInPandas(probes, "block int, id long, c array<double>")
+    probe = by_block(blocked).applyInPandas(probes, "block int, id long, c array<double>")
 
     def answer(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
@@ -99,7 +100,7 @@ def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = B
         r, i, d = nearest(np.stack(q["c"]), np.stack(b["c"]), b["id"].to_numpy(), k)
         return pd.DataFrame({"id": q["id"].to_numpy()[r], "nbr": i, "dist": d})
 
-    found = probe.groupBy("block").cogroup(blocked.groupBy("block")).applyInPandas(answer, "id long, nbr long, dist double")
+    found = by_block(probe).cogroup(by_block(blocked)).applyInPandas(answer, "id long, nbr long, dist double")
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "nbr"))
     near = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
     if crowds.isEmpty():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkgrove.functions.vector import unrolled_distance
 from sparkgrove.operators.blocks import assign_blocks, block_table, box_gaps, fit_splits
 from sparkgrove.operators.knn import distances
-from sparkgrove.session import materialise
+from sparkgrove.session import materialise, tasks
 
 EDGES = "u long, v long, weight double"
 PAIR_BLOCK = 1024
@@ -200,7 +200,7 @@ def _tree_of_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int, fo
         take = min(len(a), step, PAIRS_PER_ROUND)
         pairs = spark.createDataFrame(pd.DataFrame({"pair": np.arange(take), "x": numbers[a[:take]], "y": numbers[b[:take]]}))
         sides = pairs.select("pair", F.explode(F.array_distinct(F.array(F.col("x").cast("int"), F.col("y").cast("int")))).alias("block"))
-        trees = sides.join(blocked, "block").select("pair", "id", "c", "cd").groupBy("pair").applyInPandas(_tree_of_pair, EDGES)
+        trees = sides.join(blocked, "block").select("pair", "id", "c", "cd").repartition(tasks(spark, take), "pair").groupBy("pair").applyInPandas(_tree_of_pair, EDGES)
         edges = trees if forest is None else forest.unionByName(trees)
         most = int(sizes[a[:take]].sum() + sizes[b[:take]].sum()) + n
         forest = materialise(kruskal(edges, max(1, take // 64), most, fold_edges), "forest")

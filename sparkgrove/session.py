@@ -46,6 +46,13 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, groups: int) -> int:
+    """Tasks for groups whose work isn't measured by their bytes: Spark leaves an exchange of a given number of
+    partitions as it is, where it would merge small ones."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(groups, max(parts, groups // 16)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
