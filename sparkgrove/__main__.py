@@ -32,14 +32,19 @@ def main(argv: list[str] | None = None) -> int:
     n = points.count()
     for k in range(a.rounds):
         timings: dict[str, float] = {}
+        rounds: list[dict[str, float]] = []
         began = time.perf_counter()
-        tree = materialise(density_tree(points, a.min_pts, timings=timings), "tree")
+        tree = materialise(density_tree(points, a.min_pts, timings=timings, rounds=rounds), "tree")
+        for r in rounds:
+            print({name: round(s, 6) for name, s in r.items()})
+        merging = time.perf_counter()
         merges = dendrogram(tree, n)
         if a.out and k == 0:
             line = F.concat_ws(" ", "left", "right", F.format_string("%.11e", "height"), "size")
             write_sequence(merges.withColumn("line", line), a.out, "line", "merge_idx")
         else:
             merges.count()
+        timings["dendrogram"] = time.perf_counter() - merging
         print({name: round(s, 3) for name, s in timings.items()}, f"total {time.perf_counter() - began:.3f} s")
     return 0
 

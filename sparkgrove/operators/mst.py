@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -156,19 +158,19 @@ def _tree_of_pair(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": u, "v": v, "weight": w})
 
 
-def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_BLOCK, fold_edges: int = FOLD_EDGES) -> DataFrame:
+def mst_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_BLOCK, fold_edges: int = FOLD_EDGES, rounds: list | None = None) -> DataFrame:
     """Spanning tree by block pairs, nearest pairs first.
 
     The tree of two blocks' points holds every edge of the global tree between them, so the union over
     all pairs holds the global tree. Pairs are taken in order of the least weight a cross edge can have;
     once all points of a pair lie in one component whose edges are all lighter than that (strictly, so
     ties keep their canonical edge), the pair cannot add an edge and is dropped. Points with equal coordinates
-    and core distance 0 hang on the smallest id among them, which alone enters the blocks.
+    and core distance 0 hang on the smallest id among them, which alone enters the blocks. rounds, if given, gets the number of pairs, their least and largest bound and the seconds of every round.
     """
     points_cd, hung = _hang_copies(points_cd)
     if hung is not None:
         n = points_cd.count()
-    forest = _tree_of_blocks(points_cd, n, dims, block_size, fold_edges) if n > 1 else None
+    forest = _tree_of_blocks(points_cd, n, dims, block_size, fold_edges, rounds) if n > 1 else None
     return forest if hung is None else hung if forest is None else forest.unionByName(hung)
 
 
@@ -186,7 +188,7 @@ def _hang_copies(points_cd: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return known.filter(~copy).select(points_cd.columns), known.filter(copy).select(F.col("first").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("weight"))
 
 
-def _tree_of_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int, fold_edges: int) -> DataFrame:
+def _tree_of_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int, fold_edges: int, rounds: list | None) -> DataFrame:
     blocked = materialise(assign_blocks(points_cd, fit_splits(points_cd, n, block_size)), "blocks")
     t = block_table(blocked, dims, core=True)
     lo, hi = np.stack(t["lo"]), np.stack(t["hi"])
@@ -197,6 +199,7 @@ def _tree_of_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int, fo
     numbers, sizes, forest, spark = t["block"].to_numpy(), t["n"].to_numpy(), None, points_cd.sparkSession
     step = max(4 * len(t), 16)
     while len(a):
+        began = time.perf_counter()
         take = min(len(a), step, PAIRS_PER_ROUND)
         pairs = spark.createDataFrame(pd.DataFrame({"pair": np.arange(take), "x": numbers[a[:take]], "y": numbers[b[:take]]}))
         sides = pairs.select("pair", F.explode(F.array_distinct(F.array(F.col("x").cast("int"), F.col("y").cast("int")))).alias("block"))
@@ -204,6 +207,8 @@ def _tree_of_blocks(points_cd: DataFrame, n: int, dims: int, block_size: int, fo
         edges = trees if forest is None else forest.unionByName(trees)
         most = int(sizes[a[:take]].sum() + sizes[b[:take]].sum()) + n
         forest = materialise(kruskal(edges, max(1, take // 64), most, fold_edges), "forest")
+        if rounds is not None:
+            rounds.append({"pairs": take, "bound": float(lb[0]), "upto": float(lb[take - 1]), "seconds": time.perf_counter() - began})
         a, b, lb, step = a[take:], b[take:], lb[take:], step * 2
         if len(a):
             heavy, comp = _block_components(forest, n - 1, blocked, t, fold_edges)
@@ -249,9 +254,9 @@ def _block_components(forest: DataFrame, edges: int, blocked: DataFrame, t: pd.D
     return heavy, np.where(uniform, index, -1)
 
 
-def mst(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_BLOCK) -> DataFrame:
+def mst(points_cd: DataFrame, n: int, dims: int, block_size: int = PAIR_BLOCK, rounds: list | None = None) -> DataFrame:
     """u < v, weight: the n - 1 edges of the mutual reachability tree of points(id, c, cd)."""
-    return mst_blocks(points_cd, n, dims, block_size)
+    return mst_blocks(points_cd, n, dims, block_size, rounds=rounds)
 
 
 def tree_summary(edges: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from sparkgrove.session import materialise
 from sparkgrove.sources.points import validate
 
 
-def density_tree(points: DataFrame, min_pts: int, max_dim: int = 20, timings: dict | None = None, block_size: int | None = None) -> DataFrame:
-    """u < v, weight: the spanning tree under mutual reachability. min_pts = 1 gives the Euclidean tree."""
+def density_tree(points: DataFrame, min_pts: int, max_dim: int = 20, timings: dict | None = None, block_size: int | None = None, rounds: list | None = None) -> DataFrame:
+    """u < v, weight: the spanning tree under mutual reachability. min_pts = 1 gives the Euclidean tree.
+    timings gets the seconds of the phases, rounds those of each round of block pairs."""
     began = time.perf_counter()
     points, n, d = validate(points, max_dim)
     if n < 2:
@@ -26,7 +27,7 @@ def density_tree(points: DataFrame, min_pts: int, max_dim: int = 20, timings: di
     points_cd = materialise(points.join(cd, "id"), "core")
     if timings is not None:
         timings["core-dist"] = time.perf_counter() - began
-    tree = mst(points_cd, n, d, block_size or PAIR_BLOCK)
+    tree = mst(points_cd, n, d, block_size or PAIR_BLOCK, rounds)
     if timings is not None:
         timings["tree"] = time.perf_counter() - began - timings["core-dist"]
     return tree

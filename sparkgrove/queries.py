@@ -15,7 +15,7 @@ from sparkgrove.operators.blocks import bounding_box
 from sparkgrove.operators.joins import closest_pair, closest_pairs_by_group, range_join
 from sparkgrove.operators.knn import core_distance, knn
 from sparkgrove.operators.mst import extend_forest, kruskal, mutual_reach_edges, tree_summary
-from sparkgrove.operators.wspd import box_tree, wspd
+from sparkgrove.operators.wspd import box_tree, tree_by_windows, wspd
 from sparkgrove.plans.hierarchy import dendrogram_of, density_tree, euclidean_tree, to_linkage
 from sparkgrove.session import materialise, shared_dir
 from sparkgrove.sources.points import from_numpy, read_int_sequence, read_points, read_tokens, synthetic_blobs
@@ -269,7 +269,13 @@ def wspd_cover(spark: SparkSession, d: str) -> DataFrame:
     return across.crossJoin(within).select((F.col("across") + F.col("within")).alias("pairs"))  # one row each
 
 
+def window_tree_summary(spark: SparkSession, d: str) -> DataFrame:
+    p = materialise(with_core(suppliers(spark, d), 5), "core")
+    return tree_summary(tree_by_windows(p, p.count(), 2, 8)).select("edges", F.round("weight", 6).alias("weight"), "heaviest")
+
+
 QUERIES: dict[str, Query] = {
+    "window_tree_summary": window_tree_summary,
     "wspd_cover": wspd_cover,
     "closest_pair_mutual": lambda s, d: closest_pair(*[with_core(vectors(s, d, 3), 5).filter(F.col("label") == k) for k in (0, 1)], 3, mutual=True, block_size=16),
     "vector_functions": vector_functions,
@@ -363,6 +369,7 @@ select a.i // 2 id, a.x x0, b.x x1 from n a join n b on b.i = a.i + 1 where a.i
     "knn_d64": f'with {sql_knn(sql_vectors(64), 64, 3)} select id, "rank", nbr, dist from knn',
     "density_tree_blocks": sql_tree_rows(sql_vectors(3), 3, 5),
     "tree_summary": f"with recursive {sql_tree(_SUPPLIER, 2, 5)} select count(*) edges, round(sum(bw), 6) weight, max(bw) heaviest from prim where id <> 0",
+    "window_tree_summary": f"with recursive {sql_tree(_SUPPLIER, 2, 5)} select count(*) edges, round(sum(bw), 6) weight, max(bw) heaviest from prim where id <> 0",
     "edge_text_plain": f"with recursive {sql_tree(_SUPPLIER, 2, 1)} select bu u, bv v, bu || ' ' || bv as value from prim where id <> 0",
     "perturb": f"with p as ({sql_vectors(3)}) select id, unnest(list_transform(c, lambda x: x * (1.0::double + 0.0001::double * (('0x' || md5(id::varchar)[1:12])::bigint::double / 281474976710656::double * 2.0::double - 1.0::double)))) x from p",
     "point_in_box": f"with {sql_boxes(4)} select b.block, count(*) inside from p, bx b where {' and '.join(f'p.c[{i}] between b.lo[{i}] and b.hi[{i}]' for i in range(1, 5))} group by b.block",

@@ -8,7 +8,7 @@ from sparkgrove.operators.dendrogram import dendrogram
 from sparkgrove.operators.joins import closest_pair, closest_pairs_by_group, range_join
 from sparkgrove.operators.knn import core_distance, distances, knn_blocks
 from sparkgrove.operators.mst import Forest, components, kruskal, mst_blocks
-from sparkgrove.operators.wspd import box_tree, wspd
+from sparkgrove.operators.wspd import box_tree, round_bound, tree_by_windows, window_pairs, wspd
 from sparkgrove.plans.hierarchy import dendrogram_of, density_tree, to_linkage
 from sparkgrove.sources import points as P
 from sparkgrove.sources import sinks as K
@@ -97,7 +97,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "p.txt").write_text("0 0\n0 0\n3 4\n6 8\n6 9\n")
     assert main(["-m", "2", "-r", "2", "-o", str(tmp_path / "out"), str(tmp_path / "p.txt")]) == 0
     said = capsys.readouterr().out
-    assert said.count("core-dist") == 2 and said.count("tree") == 2
+    assert said.count("core-dist") == 2 and said.count("tree") == 2 and said.count("dendrogram") == 2 and said.count("pairs") >= 2
     rows = [r.value.split() for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert sorted([int(a), int(b), float(h), int(n)] for a, b, h, n in rows) == [[0, 1, 0, 2], [3, 4, 1, 2], [5, 2, 5, 3], [7, 6, 5, 5]]
 
@@ -116,6 +116,27 @@ def test_pairs_cover_all_points_once(spark):
     assert 0 < sum(r.separated for r in pairs) and len(pairs) < len(seen)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_tree_by_windows(spark, k):
+    x = np.round(np.random.default_rng(k).normal(size=(120, 2)), 1)
+    cd = np.sort(distances(x, x), axis=1)[:, k - 1]
+    p = spark.createDataFrame([(i, x[i].tolist(), float(cd[i])) for i in range(120)], "id long, c array<double>, cd double")
+    got = tree_rows(tree_by_windows(p, 120, 2, 4, most=16))
+    assert len(got) == 119 and [w for w, _, _ in got] == [w for _, _, w in brute_tree(x, k)]
+
+
+def test_windows_and_bound(spark):
+    x = np.random.default_rng(5).normal(size=(80, 2))
+    tree = box_tree(P.from_numpy(spark, x), 80, 2, 4)
+    pairs = wspd(tree, mutual=True).collect()
+    large = [r.lower for r in pairs if r.n_u + r.n_v > 12]
+    assert round_bound(tree, 12) == min(large) and round_bound(tree, 160) == float("inf")
+    high = sorted(r.lower for r in pairs)[len(pairs) // 2]
+    assert {(r.u, r.v) for r in window_pairs(tree, -1.0, high).collect()} == {(r.u, r.v) for r in pairs if r.lower < high}
+    one = tree.withColumn("comp", F.lit(0))
+    assert window_pairs(one, -1.0, high).count() == 0
+
+
 def test_closest_pair_prunes(spark):
     rng = np.random.default_rng(6)
     a, b = (P.from_numpy(spark, rng.normal(size=(300, 2)) + k) for k in (0, 4))
