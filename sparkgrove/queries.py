@@ -390,6 +390,7 @@ from bx a join bx b on a.block < b.block""",
     "density_tree": sql_tree_rows(sql_vectors(3), 3, 5),
     "density_tree_d8": sql_tree_rows(sql_vectors(8), 8, 5),
     "density_tree_supplier": sql_tree_rows(_SUPPLIER, 2, 5),
+    "part_tree": sql_tree_rows(_PART, 2, 5),
     "dendrogram": sql_dendrogram(sql_vectors(3), 3, 5),
     "dendrogram_euclid": sql_dendrogram(sql_vectors(2), 2, 1),
     "dendrogram_supplier": sql_dendrogram(_SUPPLIER, 2, 5),
