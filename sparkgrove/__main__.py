@@ -13,7 +13,7 @@ from sparkgrove.operators.dendrogram import dendrogram
 from sparkgrove.plans.hierarchy import density_tree
 from sparkgrove.session import materialise
 from sparkgrove.sources.points import read_points
-from sparkgrove.sources.sinks import write_sequence
+from sparkgrove.sources.sinks import numbers_text, write_sequence
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
         merging = time.perf_counter()
         merges = dendrogram(tree, n)
         if a.out and k == 0:
-            line = F.concat_ws(" ", "left", "right", F.format_string("%.11e", "height"), "size")
+            line = F.concat_ws(" ", "left", "right", numbers_text(F.array("height")), "size")
             write_sequence(merges.withColumn("line", line), a.out, "line", "merge_idx")
         else:
             merges.count()

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = "%.11e"
 
 
-def number_text(x: Column) -> Column:
-    return F.format_string(NUMBER, x)
+def numbers_text(c: Column) -> Column:
+    """The numbers of an array, blank separated; null if one is. By Python, which rounds a double's exact value, as
+    C does: Java's %e rounds the shortest decimal that reads back as the double, halves up."""
+
+    @F.pandas_udf("string")
+    def text(c: pd.Series) -> pd.Series:
+        return c.map(lambda a: None if a is None or any(x is None or x != x for x in a) else " ".join(NUMBER % x for x in a)).astype(object)
+
+    return text(c)
 
 
 def point_lines(points: DataFrame) -> DataFrame:
-    return points.select("id", F.array_join(F.transform("c", number_text), " ").alias("value"))
+    return points.select("id", numbers_text(F.col("c")).alias("value"))
 
 
 def edge_lines(edges: DataFrame, weighted: bool = True) -> DataFrame:
     if weighted:
-        return edges.select("u", "v", F.format_string(f"%d %d {NUMBER}", "u", "v", "weight").alias("value"))
+        return edges.select("u", "v", F.concat_ws(" ", "u", "v", numbers_text(F.array("weight"))).alias("value"))
     return edges.select("u", "v", F.format_string("%d %d", "u", "v").alias("value"))
 
 

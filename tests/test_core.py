@@ -249,6 +249,14 @@ def test_range_join(spark):
     assert got == set(zip(*np.nonzero(distances(x, x) <= 0.3)))
 
 
+def test_numbers_round_as_in_c(spark):
+    x = np.concatenate([np.random.default_rng(3).uniform(size=(300, 2)).round(12) + 1, [[1.000000000005, 2.5e-300], [-0.0, 0.1]]])
+    got = {r.id: r.value for r in K.point_lines(P.from_numpy(spark, x)).collect()}
+    assert got == {i: " ".join("%.11e" % v for v in r) for i, r in enumerate(x.tolist())}
+    e = spark.createDataFrame([(0, 1, 1.000000000005)], "u long, v long, weight double")
+    assert K.edge_lines(e).first().value == "0 1 %.11e" % 1.000000000005
+
+
 def test_kruskal_forest_and_errors(spark):
     e = spark.createDataFrame([(1, 0, 2.0), (1, 2, 1.0), (0, 2, 2.0), (5, 6, 1.0), (3, 3, 0.0)], "u long, v long, weight double")
     assert tree_rows(kruskal(e, 3)) == [(1.0, 1, 2), (1.0, 5, 6), (2.0, 0, 1)]
