@@ -59,23 +59,118 @@ def knn_bruteforce(points: DataFrame, k: int, dims: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
 
 
-def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = BLOCK_SIZE) -> DataFrame:
+#: From so many dimensions on boxes keep few blocks out of reach: all pairs of large blocks are compared.
+PAIR_DIMS = 8
+PAIR_POINTS = 16_384
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by a matrix product, and what they can be off by at most."""
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    d = a @ b.T
+    d *= -2.0
+    d += aa[:, None]
+    d += bb[None]
+    return d, 1e-12 * (aa.max() + bb.max())
+
+
+def _first(rows: list, k: int) -> list:
+    """Of (id, nbr, dist) arrays the k nearest of each id."""
+    i, j, d = map(np.concatenate, zip(*rows))
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return [(i[keep], j[keep], d[keep])]
+
+
+def near_of_pair(x: np.ndarray, ids: np.ndarray, most: np.ndarray, y: np.ndarray, y_ids: np.ndarray, y_most: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, nbr, dist: the k nearest in the other block of each point, of those whose squared distance is most at
+    most. y_most None: only x asks. Products choose, distances() decides."""
+    found, held = [(np.array([], "int64"), np.array([], "int64"), np.array([], "float64"))], 0
+    step = _chunk(len(y))
+    for at in range(0, len(x), step):
+        d, off = _squares(x[at : at + step], y)
+        asks = [(~(d > most[at : at + step, None] + off), False)]
+        if y_most is not None:
+            asks.append((~(d > y_most[None] + off), True))
+        for mask, back in asks:
+            r, c = np.nonzero(mask)
+            acc = np.zeros(len(r))
+            for j in range(x.shape[1]):
+                diff = x[r + at, j] - y[c, j]
+                acc += diff * diff
+            i, j = ids[r + at], y_ids[c]
+            found.append((j, i, np.sqrt(acc)) if back else (i, j, np.sqrt(acc)))
+            held += len(r)
+        if held > HELD:
+            found = _first(found, k)
+            held = 0
+    return _first(found, k)[0]
+
+
+def _knn_pairs(blocked: DataFrame, k: int, dims: int) -> DataFrame:
+    """id, nbr, dist: at least the k nearest. A radius from each point's own block, then all pairs of blocks that it
+    can reach, each in one task by a matrix product: a block travels once per pair it is in."""
+    spark = blocked.sparkSession
+    count = blocked.select("block").distinct().count()
+
+    def radii(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, most = np.stack(pdf["c"]), np.full(len(pdf), np.inf)
+        if len(x) >= k:
+            step = _chunk(len(x))
+            for at in range(0, len(x), step):
+                d, off = _squares(x[at : at + step], x)
+                most[at : at + step] = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * off
+        return pdf.assign(most=np.where(np.isnan(most), np.inf, most))
+
+    p = materialise(blocked.repartition(tasks(spark, count), "block").groupBy("block").applyInPandas(radii, "id long, c array<double>, block int, most double"), "radii")
+    t = block_table(p, dims).merge(p.groupBy("block").agg(F.max("most").alias("most")).toPandas(), on="block")
+    lo, hi, most, numbers = np.stack(t["lo"]), np.stack(t["hi"]), t["most"].to_numpy(), t["block"].to_numpy()
+    i, j = np.triu_indices(len(t))
+    near = box_gaps(lo, hi, lo, hi)[i, j] ** 2 * (1.0 - 1e-12) <= np.maximum(most[i], most[j])
+    pairs = spark.createDataFrame(pd.DataFrame({"x": numbers[i[near]], "y": numbers[j[near]]}).astype("int32"))
+    sides = F.broadcast(pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")))
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = (pdf["block"] == pdf["x"]).to_numpy()
+        x, ids, r = np.stack(pdf["c"]), pdf["id"].to_numpy(), pdf["most"].to_numpy()
+        rows = near_of_pair(x, ids, r, x, ids, None, k) if left.all() else near_of_pair(x[left], ids[left], r[left], x[~left], ids[~left], r[~left], k)
+        return pd.DataFrame(dict(zip(("id", "nbr", "dist"), rows)))
+
+    asked = p.join(sides, "block").repartition(tasks(spark, int(near.sum())), "x", "y")
+    return asked.groupBy("x", "y").applyInPandas(answer, "id long, nbr long, dist double")
+
+
+def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = BLOCK_SIZE, pair_points: int = PAIR_POINTS) -> DataFrame:
     """Block form: a local top k bounds each query's radius, then only blocks within it are probed.
 
     Of points with equal coordinates the k smallest ids enter the blocks: no other can be among the k nearest of
     any point, and the rest have just those k as neighbours, at distance 0. So no block fills with copies.
     Shuffles: points by coordinates (k a group and task), by block once per phase; probes carry one row per
-    (query, reachable block).
+    (query, reachable block). From PAIR_DIMS dimensions on pairs of blocks of pair_points are compared instead.
     """
     copy = F.row_number().over(W.partitionBy("c").orderBy("id"))
-    few = points.withColumn("_copy", copy).filter(F.col("_copy") <= k).drop("_copy")
-    splits = fit_splits(points, n, max(block_size, 2 * k))
+    few = points.select("id", "c").withColumn("_copy", copy).filter(F.col("_copy") <= k).drop("_copy")
+    paired = dims >= PAIR_DIMS
+    splits = fit_splits(points, n, max(block_size, 2 * k, pair_points if paired else 0))
     blocked = materialise(assign_blocks(few, splits), "blocked")  # read four times
     crowds = materialise(blocked.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("first")).filter(F.size("first") == k), "crowds")  # k ids each
+    found = _knn_pairs(blocked, k, dims) if paired else _knn_probes(blocked, k, dims)
+    rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "nbr"))
+    near = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
+    if crowds.isEmpty():
+        return near
+    rest = points.join(crowds, "c").filter(F.col("id") > F.col("first")[k - 1])
+    copies = rest.select("id", F.posexplode("first").alias("rank", "nbr"))
+    return near.unionByName(copies.select("id", (F.col("rank") + 1).alias("rank"), "nbr", F.lit(0.0).alias("dist")))
+
+
+def _knn_probes(blocked: DataFrame, k: int, dims: int) -> DataFrame:
+    """id, nbr, dist: at least the k nearest, from the blocks within each point's radius."""
     table = block_table(blocked, dims)
-    lo, hi, sizes = np.stack(table["lo"]), np.stack(table["hi"]), table["n"].to_numpy()
+    lo, hi = np.stack(table["lo"]), np.stack(table["hi"])
     numbers = table["block"].to_numpy()
-    by_block = lambda t: t.repartition(tasks(points.sparkSession, len(numbers)), "block").groupBy("block")
+    by_block = lambda t: t.repartition(tasks(blocked.sparkSession, len(numbers)), "block").groupBy("block")
 
     def probes(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, own = np.stack(pdf["c"]), pdf["id"].to_numpy(), int(pdf["block"].iloc[0])
@@ -100,14 +195,7 @@ def knn_blocks(points: DataFrame, n: int, k: int, dims: int, block_size: int = B
         r, i, d = nearest(np.stack(q["c"]), np.stack(b["c"]), b["id"].to_numpy(), k)
         return pd.DataFrame({"id": q["id"].to_numpy()[r], "nbr": i, "dist": d})
 
-    found = by_block(probe).cogroup(by_block(blocked)).applyInPandas(answer, "id long, nbr long, dist double")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "nbr"))
-    near = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
-    if crowds.isEmpty():
-        return near
-    rest = points.join(crowds, "c").filter(F.col("id") > F.col("first")[k - 1])
-    copies = rest.select("id", F.posexplode("first").alias("rank", "nbr"))
-    return near.unionByName(copies.select("id", (F.col("rank") + 1).alias("rank"), "nbr", F.lit(0.0).alias("dist")))
+    return by_block(probe).cogroup(by_block(blocked)).applyInPandas(answer, "id long, nbr long, dist double")
 
 
 def knn(points: DataFrame, k: int, max_dim: int = 20, block_size: int = BLOCK_SIZE) -> DataFrame:

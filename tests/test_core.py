@@ -235,6 +235,15 @@ def test_tree_of_far_groups_takes_few_comparisons(spark):
     assert 2 <= len(rounds) <= 9 and sum(r["pairs"] for r in rounds) < 2 * 251
 
 
+def test_pairs_of_blocks_equal_bruteforce(spark):
+    x = np.random.default_rng(5).normal(size=(300, 20)).round(1)
+    x[100:140] = x[:40]
+    df, d = P.from_numpy(spark, x).withColumn("label", F.lit(1)), distances(x, x)
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    got = {(r.id, r.rank): (r.nbr, r.dist) for r in knn_blocks(df, 300, 4, 20, block_size=8, pair_points=60).collect()}
+    assert got == {(i, j + 1): (want[i, j], d[i, want[i, j]]) for i in range(300) for j in range(4)}
+
+
 def test_tree_of_copies_alone(spark):
     df = P.from_numpy(spark, np.ones((5, 2))).withColumn("cd", F.lit(0.0))
     assert tree_rows(mst_blocks(df, 5, 2)) == [(0.0, 0, v) for v in range(1, 5)]
