@@ -1,11 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sparkgrove.functions import boxes as B
 from sparkgrove.operators.aggregates import prefix_sum
 from sparkgrove.operators.dendrogram import dendrogram
-from sparkgrove.operators.joins import closest_pair, closest_pairs_by_group, range_join
+from sparkgrove.operators.joins import _closest_of_two, closest_pair, closest_pairs_by_group, range_join
 from sparkgrove.operators.knn import core_distance, distances, knn_blocks
 from sparkgrove.operators.mst import Forest, components, forest_edges, kruskal, mst_blocks
 from sparkgrove.operators.wspd import box_tree, round_bound, tree_by_windows, window_pairs, wspd
@@ -161,6 +162,15 @@ def test_closest_pairs_of_groups(spark, mutual):
     assert {(r.group_a, r.group_b): (r.weight, r.u, r.v) for r in got} == want
 
 
+def test_closest_of_two_blocks(spark):
+    x = np.round(np.random.default_rng(9).normal(size=(90, 2)), 1)
+    left, cd = np.arange(90) % 3 == 0, np.round(np.random.default_rng(3).uniform(size=90), 1)
+    w = np.maximum(np.maximum(distances(x, x), cd[:, None]), cd[None])
+    want = min((w[i, j], min(i, j), max(i, j)) for i in np.flatnonzero(left) for j in np.flatnonzero(~left))
+    got = _closest_of_two(pd.DataFrame({"id": np.arange(90), "c": list(x), "cd": cd, "left": left, "a": 0, "b": 1})).iloc[0]
+    assert (got.weight, got.u, got.v) == want
+
+
 def test_prefix_sum(spark):
     v = np.random.default_rng(1).integers(0, 9, 200)
     d = spark.createDataFrame([(int(k), int(x)) for k, x in enumerate(v)], "k long, x long").repartition(5)
