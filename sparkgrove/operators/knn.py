@@ -62,16 +62,22 @@ def knn_bruteforce(points: DataFrame, k: int, dims: int) -> DataFrame:
 #: From so many dimensions on boxes keep few blocks out of reach: all pairs of large blocks are compared.
 PAIR_DIMS = 8
 PAIR_POINTS = 16_384
+#: Squared distances of one product.
+STRIP = 1 << 20
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared distances by a matrix product, and what they can be off by at most."""
-    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    d = a @ b.T
-    d *= -2.0
-    d += aa[:, None]
-    d += bb[None]
-    return d, 1e-12 * (aa.max() + bb.max())
+def _lifted(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two matrices whose product holds the squared distances of x to y, and what it can be off by at most. In single
+    precision where that is little beside least."""
+    centre = y.mean(axis=0)
+    x, y = x - centre, y - centre
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    size, kind = xx.max() + yy.max(), np.float32
+    off = (x.shape[1] + 8) * 2.0**-22 * size
+    if not (1e-20 < size < 1e30 and off <= least * 2.0**-6):
+        off, kind = off * 2.0**-29, np.float64
+    a = np.column_stack([-2.0 * x, xx, np.ones(len(x))]).astype(kind)
+    return a, np.vstack([y.T, np.ones(len(y)), yy]).astype(kind), off
 
 
 def _first(rows: list, k: int) -> list:
@@ -87,14 +93,19 @@ def near_of_pair(x: np.ndarray, ids: np.ndarray, most: np.ndarray, y: np.ndarray
     """id, nbr, dist: the k nearest in the other block of each point, of those whose squared distance is most at
     most. y_most None: only x asks. Products choose, distances() decides."""
     found, held = [(np.array([], "int64"), np.array([], "int64"), np.array([], "float64"))], 0
-    step = _chunk(len(y))
+    every = most if y_most is None else np.concatenate([most, y_most])
+    few = len(every) // 20
+    a, b, off = _lifted(x, y, float(np.partition(every, few)[few]))
+    up = lambda r: np.nextafter((r + off).astype(a.dtype), a.dtype.type(np.inf))
+    far, y_far = up(most), None if y_most is None else up(y_most)
+    step = max(1, STRIP // len(y))
     for at in range(0, len(x), step):
-        d, off = _squares(x[at : at + step], y)
-        asks = [(~(d > most[at : at + step, None] + off), False)]
+        d = a[at : at + step] @ b
+        asks = [(d > far[at : at + step, None], False)]
         if y_most is not None:
-            asks.append((~(d > y_most[None] + off), True))
+            asks.append((d > y_far[None], True))
         for mask, back in asks:
-            r, c = np.nonzero(mask)
+            r, c = np.divmod(np.flatnonzero(~mask), len(y))
             acc = np.zeros(len(r))
             for j in range(x.shape[1]):
                 diff = x[r + at, j] - y[c, j]
@@ -117,9 +128,10 @@ def _knn_pairs(blocked: DataFrame, k: int, dims: int) -> DataFrame:
     def radii(pdf: pd.DataFrame) -> pd.DataFrame:
         x, most = np.stack(pdf["c"]), np.full(len(pdf), np.inf)
         if len(x) >= k:
+            a, b, off = _lifted(x, x, 0.0)
             step = _chunk(len(x))
             for at in range(0, len(x), step):
-                d, off = _squares(x[at : at + step], x)
+                d = a[at : at + step] @ b
                 most[at : at + step] = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * off
         return pdf.assign(most=np.where(np.isnan(most), np.inf, most))
 

@@ -7,7 +7,7 @@ from sparkgrove.functions import boxes as B
 from sparkgrove.operators.aggregates import prefix_sum
 from sparkgrove.operators.dendrogram import dendrogram
 from sparkgrove.operators.joins import _closest_of_two, closest_pair, closest_pairs_by_group, range_join
-from sparkgrove.operators.knn import core_distance, distances, knn_blocks
+from sparkgrove.operators.knn import core_distance, distances, knn_blocks, near_of_pair
 from sparkgrove.operators.mst import Forest, components, forest_edges, kruskal, mst_blocks
 from sparkgrove.operators.wspd import box_tree, round_bound, tree_by_windows, window_pairs, wspd
 from sparkgrove.plans.hierarchy import dendrogram_of, density_tree, to_linkage
@@ -254,6 +254,19 @@ def test_pairs_of_blocks_equal_bruteforce(spark):
     assert got == {(i, j + 1): (want[i, j], d[i, want[i, j]]) for i in range(300) for j in range(4)}
 
 
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1.0, 1e7), (1e-15, 0.0), (1e150, 0.0)])
+def test_products_keep_to_the_radius(scale, shift):
+    rng = np.random.default_rng(12)
+    x, y = (rng.normal(size=(n, 20)) * scale + shift for n in (60, 70))
+    d = distances(x, y)
+    most, y_most = np.sort(d, axis=1)[:, 3] ** 2 * (1 + 1e-12), np.sort(d, axis=0)[2] ** 2 * (1 + 1e-12)
+    i, j, w = near_of_pair(x, np.arange(60), most, y, np.arange(70) + 100, y_most, 70)
+    got = dict(zip(zip(i.tolist(), j.tolist()), w))
+    want = {(int(r), int(c) + 100): d[r, c] for r, c in zip(*np.nonzero(d**2 <= most[:, None]))}
+    want |= {(int(c) + 100, int(r)): d[r, c] for r, c in zip(*np.nonzero(d**2 <= y_most[None]))}
+    assert want.items() <= got.items() and len(got) <= 1.1 * len(want)  # few beyond the radius, near the origin or not
+
+
 def test_tree_of_copies_alone(spark):
     df = P.from_numpy(spark, np.ones((5, 2))).withColumn("cd", F.lit(0.0))
     assert tree_rows(mst_blocks(df, 5, 2)) == [(0.0, 0, v) for v in range(1, 5)]
