@@ -6,10 +6,11 @@ import time
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkgrove.operators.dendrogram import dendrogram
-from sparkgrove.operators.knn import BLOCK_SIZE, core_distance
-from sparkgrove.operators.mst import PAIR_BLOCK, mst
+from sparkgrove.operators.knn import BLOCK_SIZE, core_distance, knn_blocks
+from sparkgrove.operators.mst import LISTED, PAIR_BLOCK, mst
 from sparkgrove.session import materialise
 from sparkgrove.sources.points import validate
 
@@ -23,11 +24,16 @@ def density_tree(points: DataFrame, min_pts: int, max_dim: int = 20, timings: di
         raise ValueError("at least 2 points are needed")
     if not 1 <= min_pts <= n:
         raise ValueError(f"min_pts is {min_pts}, with {n} points")
-    cd = core_distance(points, min_pts, max_dim, block_size or BLOCK_SIZE)
+    near = None
+    if min_pts > 1 and points.groupBy("c").count().filter(F.col("count") >= min_pts).isEmpty():  # the lists serve the tree as well
+        near = materialise(knn_blocks(points, n, min(n, max(min_pts, LISTED)), d, block_size or BLOCK_SIZE), "near")
+        cd = near.filter(F.col("rank") == min_pts).select("id", F.col("dist").alias("cd"))
+    else:  # copies stay out of the tree's lists
+        cd = core_distance(points, min_pts, max_dim, block_size or BLOCK_SIZE)
     points_cd = materialise(points.join(cd, "id"), "core")
     if timings is not None:
         timings["core-dist"] = time.perf_counter() - began
-    tree = mst(points_cd, n, d, block_size or PAIR_BLOCK, rounds)
+    tree = mst(points_cd, n, d, block_size or PAIR_BLOCK, rounds, near)
     if timings is not None:
         timings["tree"] = time.perf_counter() - began - timings["core-dist"]
     return tree

@@ -267,6 +267,20 @@ def test_products_keep_to_the_radius(scale, shift):
     assert want.items() <= got.items() and len(got) <= 1.1 * len(want)  # few beyond the radius, near the origin or not
 
 
+@pytest.mark.parametrize("k, d", [(5, 3), (20, 3), (5, 8)])
+def test_lists_are_looked_for_once(spark, monkeypatch, k, d):
+    from sparkgrove.operators import knn, mst
+    from sparkgrove.plans import hierarchy
+
+    calls = []
+    for module in (knn, mst, hierarchy):
+        monkeypatch.setattr(module, "knn_blocks", lambda *args: calls.append(1) or knn_blocks(*args), raising=False)
+    x = np.random.default_rng(k).normal(size=(120, d)).round(1)
+    x[10:13] = x[0]  # copies, but fewer than k
+    got = tree_rows(density_tree(P.from_numpy(spark, x), k))
+    assert got == sorted((w, u, v) for u, v, w in brute_tree(x, k)) and len(calls) == 1
+
+
 def test_tree_of_copies_alone(spark):
     df = P.from_numpy(spark, np.ones((5, 2))).withColumn("cd", F.lit(0.0))
     assert tree_rows(mst_blocks(df, 5, 2)) == [(0.0, 0, v) for v in range(1, 5)]
