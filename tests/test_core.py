@@ -305,6 +305,39 @@ def test_range_join(spark):
     assert got == set(zip(*np.nonzero(distances(x, x) <= 0.3)))
 
 
+def test_range_join_keeps_pairs_at_the_radius(spark):
+    df = P.from_numpy(spark, np.array([[0.1, 0.0], [-5e-324, 0.0], [1e300, 0.0]]))  # 0.1 / 0.1 is 1, -5e-324 / 0.1 below 0
+    got = sorted(tuple(r) for r in range_join(df, df, 0.1, 2).collect())
+    assert got == [(0, 0, 0.0), (0, 1, 0.1), (1, 0, 0.1), (1, 1, 0.0), (2, 2, 0.0)]
+
+
+def test_range_join_deals_copies(spark, monkeypatch):
+    monkeypatch.setattr("sparkgrove.operators.joins.SIDE", 4)
+    x = np.concatenate([np.zeros((40, 2)), np.random.default_rng(1).uniform(size=(300, 2))])
+    a, b = P.from_numpy(spark, x), P.from_numpy(spark, x[:50])
+    for other, y in ((a, x), (b, x[:50])):
+        want = sorted(zip(*np.nonzero(distances(x, y) <= 0.2)))
+        found = range_join(a, other, 0.2, 2)
+        got = found.collect()
+        assert sorted((r.id, r.nbr) for r in got) == want
+        assert all(r.dist == distances(x[r.id : r.id + 1], y[r.nbr : r.nbr + 1])[0, 0] for r in got[:500])
+        pieces = found.select(F.spark_partition_id().alias("p"), "id", "nbr").filter("id < 40 and nbr < 40").groupBy("p").count().collect()
+        assert max(r["count"] for r in pieces) < 800  # of 1600 pairs of copies
+    one = a.filter("id < 40").withColumn("id", F.lit(7).cast("long"))
+    assert range_join(one, one, 0.2, 2).count() == range_join(one, a.filter("id < 40"), 0.2, 2).count() == 1600
+
+
+def test_range_join_odd_rows(spark):
+    rows = [(0, [0.0, 0.0]), (1, None), (2, [None, 0.0]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0]), (5, [0.0]), (6, [0.0, 0.0]), (None, [0.05, 0.0]), ((1 << 60) + 1, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "id long, c array<double>")
+    pairs = lambda *a: sorted(((r.id, r.nbr) for r in range_join(*a, 2).collect()), key=str)
+    near = [0, 6, None]
+    far = (rows[-1][0],) * 2
+    assert pairs(df, df, 0.1) == sorted([(i, j) for i in near for j in near] + [far], key=str)
+    assert pairs(df, df, 0.0) == sorted([(i, j) for i in (0, 6) for j in (0, 6)] + [(None, None), far], key=str)
+    assert pairs(df, df, -1.0) == pairs(df, df.filter("id < 0"), 0.1) == pairs(df.filter("id < 0"), df, 0.1) == []
+
+
 def test_numbers_round_as_in_c(spark):
     x = np.concatenate([np.random.default_rng(3).uniform(size=(300, 2)).round(12) + 1, [[1.000000000005, 2.5e-300], [-0.0, 0.1]]])
     got = {r.id: r.value for r in K.point_lines(P.from_numpy(spark, x)).collect()}
